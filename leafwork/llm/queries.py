@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from leafwork.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafwork.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafwork.llm.exact_dedup import exact_groups
 
@@ -19,7 +25,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op9_simhash)}
 
 SQL = {
     "op2_exact_dedup": r"""
