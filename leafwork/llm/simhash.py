@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import cut
+from leafwork.llm.common import cut, map_batches
 from leafwork.llm.components import connected_components
 
 SHINGLE, THRESHOLD, SEED = 4, 4, 42
@@ -53,12 +53,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp: the fingerprint's bits as a signed long. Texts are read once and not shuffled."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
+            yield {"doc_id": batch["doc_id"], "fp": fps.view(np.int64)}
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInPandas(run, "doc_id long, fp long")
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, "doc_id long, fp long")
 
 
 def anchors() -> np.ndarray:
