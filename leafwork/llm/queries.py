@@ -25,6 +25,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafwork.llm.wavelet import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafwork.llm.toxicity import fit, score
 
@@ -38,7 +44,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op5_packing, op8_toxicity, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op5_packing, op6_token_files, op8_toxicity, op9_simhash)}
 
 SQL = {
     "op2_exact_dedup": r"""
