@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafwork.llm.common import table
 
@@ -19,6 +20,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafwork.llm.warc import derive, responses
+
+    return derive(responses(table(spark, sf_dir, "pages"))).drop("date", "block")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per chunk (one for most documents): the ids, and the text that comes back from them."""
+    from leafwork.llm.pieces import decode, encode
+
+    return decode(encode(table(spark, sf_dir, "documents")), keep_ids=True).select(
+        "doc_id",
+        "chunk",
+        "n_chunks",
+        (F.octet_length("ids") / 2).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids16_crc32"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafwork.llm.packing import pack
 
@@ -44,7 +65,23 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op5_packing, op6_token_files, op8_toxicity, op9_simhash)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with three edits: words inserted at a third, twelve characters replaced at half, the last five deleted."""
+    from leafwork.llm.edits import count_edited
+
+    docs, n = table(spark, sf_dir, "documents"), F.coalesce(F.char_length("text"), F.lit(0))
+    third, half = F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int")
+    first, second = " two new words", "other words "
+    end = F.greatest(n + len(first) + len(second) - F.least(F.lit(12), n + len(first) - half) - 5, F.lit(0))
+    edit = lambda a, b, new: F.struct(a.alias("start"), b.alias("stop"), F.lit(new).alias("replacement"))
+    edits = F.array(edit(third, third, first), edit(half, half + 12, second), edit(end, end + 5, ""))
+    return count_edited(docs.withColumn("edits", edits))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_exact_dedup, op3_warc, op4_sentencepiece, op5_packing, op6_token_files, op8_toxicity, op9_simhash, op10_token_counts)
+}
 
 SQL = {
     "op2_exact_dedup": r"""
@@ -52,4 +89,28 @@ SQL = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY n) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY n) AS kept, sha256(n) AS text_sha256
         FROM t""",
+    "op3_warc": r"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+        i AS (SELECT *, md5(concat_ws('|', 'response', coalesce(url, ''), page_id::VARCHAR, h)) AS m,
+            concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(h)) AS heads FROM p),
+        r AS (SELECT *, concat('<urn:uuid:', m[1:8], '-', m[9:12], '-3', m[14:16], '-8', m[18:20], '-', m[21:32], '>') AS rid, concat('sha256:', sha256(h)) AS pd FROM i),
+        t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+            regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h,
+            '(?is)<!--.*?-->', ' ', 'g'),
+            '(?is)<(script|style|noscript|template|svg)\b.*?</(script|style|noscript|template|svg)\s*>', ' ', 'g'),
+            '(?is)<title\b.*?</title\s*>', ' ', 'g'),
+            '(?is)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|main|aside|blockquote|pre)\b[^>]*>', chr(10), 'g'),
+            '(?is)<[a-z/!?][^>]*>', ' ', 'g'),
+            '&nbsp;', ' ', 'g'), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&quot;', '"', 'g'), '&(apos|#39);', chr(39), 'g'), '&amp;', '&', 'g'),
+            '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS plain,
+            concat('status: 200', chr(13), chr(10), 'source-headers: ', replace(heads, concat(chr(13), chr(10)), '; '), chr(13), chr(10), 'source-digest: ', pd, chr(13), chr(10),
+                'title: ', trim(regexp_replace(regexp_extract(h, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '[ \t\r\n]+', ' ', 'g')), chr(13), chr(10),
+                'links: ', len(regexp_extract_all(h, '(?i)<a\s[^>]*href')), chr(13), chr(10)) AS fields FROM r),
+        b AS (SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, fields AS block FROM t
+              UNION ALL SELECT *, 'conversion', 'text/plain', plain FROM t),
+        k AS (SELECT *, md5(concat_ws('|', warc_type, rid)) AS q FROM b)
+        SELECT page_id, warc_type, concat('<urn:uuid:', q[1:8], '-', q[9:12], '-3', q[14:16], '-8', q[18:20], '-', q[21:32], '>') AS record_id,
+               rid AS refers_to, url AS target_uri, content_type, heads AS source_headers, pd AS source_digest,
+               concat('sha256:', sha256(block)) AS block_digest, strlen(block)::BIGINT AS content_length
+        FROM k""",
 }
