@@ -21,11 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import map_batches
+from leafwork.llm.common import cut, map_batches
 
 SIZES, BITS = (3, 4, 5, 6, 7), 20
 BUCKETS = 1 << BITS
 TRAIN_DOCS, FEATURES, PENALTY, STEPS = 8000, 4096, 3.0, 8
+FIT_TASKS = 8
 THRESHOLD = 0.3
 
 
@@ -62,59 +63,80 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most TRAIN_DOCS labelled documents: toxic, and the distinct buckets as bytes of unsigned 32-bit numbers."""
+    """toxic, text of at most TRAIN_DOCS labelled documents, stored in FIT_TASKS parts."""
     chosen = (
         labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
         .select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     )
-    texts = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("toxic", "text")
+    own = docs.select(docs["doc_id"], docs["text"])
+    return cut(own.join(F.broadcast(chosen), own["doc_id"] == F.col("id")).select("toxic", "text").repartition(FIT_TASKS))
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            found = []
-            for text in batch["text"]:
-                each = [b for _, b in grams([text])]
-                found.append(np.unique(np.concatenate(each)).astype("<u4").tobytes() if each else b"")
-            yield {"toxic": batch["toxic"], "buckets": found}
 
-    return map_batches(texts, run, "toxic int, buckets binary")
+def buckets(text: str | None) -> np.ndarray:
+    each = [b for _, b in grams([text])]
+    return np.unique(np.concatenate(each)) if each else np.zeros(0, np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights of the buckets and the intercept, from at most TRAIN_DOCS rows."""
-    rows = sample(docs, labels).toArrow().to_pydict()
-    return fit_rows(np.array(rows["toxic"], float), [np.frombuffer(b, "<u4") for b in rows["buckets"]])
+    """Weights of the buckets and the intercept. A first pass over the sample counts documents by bucket, a second one
+    brings the chosen features of each document: 2 x FIT_TASKS x BUCKETS and TRAIN_DOCS x FEATURES numbers at most."""
+    texts = sample(docs, labels)
 
+    def count(batches: Iterator[dict]) -> Iterator[dict]:
+        found = np.zeros((2, BUCKETS), np.uint16)
+        for batch in batches:
+            for toxic, text in zip(batch["toxic"], batch["text"]):
+                found[int(toxic > 0)][buckets(text)] += 1
+        yield {"rest": [found[0].tobytes()], "toxic": [found[1].tobytes()]}
+
+    with_rest, with_toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for row in map_batches(texts, count, "rest binary, toxic binary").toLocalIterator():
+        with_rest += np.frombuffer(row["rest"], np.uint16)
+        with_toxic += np.frombuffer(row["toxic"], np.uint16)
+    sizes = {r["t"]: r["n"] for r in texts.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    kept = chosen_buckets(with_toxic, with_rest, sizes.get(True, 0), sizes.get(False, 0))
+
+    def features(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            own = [np.flatnonzero(np.isin(kept, buckets(t), assume_unique=True)).astype("<u4").tobytes() for t in batch["text"]]
+            yield {"toxic": batch["toxic"], "own": own}
 
-def fit_rows(y: np.ndarray, own: list[np.ndarray]) -> tuple[np.ndarray, float]:
-    """y: 0 or 1 for each text; own: the distinct buckets of each text."""
-    weights, prior = np.zeros(BUCKETS, np.float32), (y.sum() + 1) / (len(y) + 2)
-    if not 0 < y.sum() < len(y):
-        return weights, float(np.log(prior / (1 - prior)))
-    doc, bucket = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
-    with_toxic = np.bincount(bucket, weights=y[doc], minlength=BUCKETS)
-    with_rest = np.bincount(bucket, minlength=BUCKETS) - with_toxic
+    rows = map_batches(texts, features, "toxic int, own binary").toArrow().to_pydict()
+    own = [np.frombuffer(x, "<u4") for x in rows["own"]]
+    order = sorted(range(len(own)), key=lambda i: (rows["toxic"][i], own[i].tobytes()))  # sums don't depend on the order of rows
     ratio = np.log((1 + with_toxic) / (1 + with_toxic).sum()) - np.log((1 + with_rest) / (1 + with_rest).sum())
-    # the FEATURES buckets that tell most: the difference of their shares over its deviation
-    p, q, share = with_toxic / y.sum(), with_rest / (len(y) - y.sum()), (with_toxic + with_rest) / len(y)
-    told = np.abs(p - q) / np.sqrt(np.maximum(share * (1 - share), 1 / len(y)))
-    kept = np.sort(np.argsort(-told, kind="stable")[:FEATURES])
-    place = np.full(BUCKETS, -1)
-    place[kept] = np.arange(len(kept))
-    use = place[bucket] >= 0
-    doc, col, value = doc[use], place[bucket[use]], ratio[kept]
+    few, b = fit_rows(np.array([rows["toxic"][i] > 0 for i in order], float), [own[i] for i in order], ratio[kept])
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[kept] = few
+    return weights, b
+
+
+def chosen_buckets(with_toxic: np.ndarray, with_rest: np.ndarray, toxic: int, rest: int) -> np.ndarray:
+    """The FEATURES buckets that tell most: the difference of their shares in the two kinds over its deviation."""
+    n = max(1, toxic + rest)
+    share = (with_toxic + with_rest) / n
+    told = np.abs(with_toxic / max(1, toxic) - with_rest / max(1, rest)) / np.sqrt(np.maximum(share * (1 - share), 1 / n))
+    return np.sort(np.argsort(-told, kind="stable")[:FEATURES])
+
+
+def fit_rows(y: np.ndarray, own: list[np.ndarray], value: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression. y: 0 or 1 for each text; own: its features; value: the log-count ratio of each feature."""
+    prior = (y.sum() + 1) / (len(y) + 2)
+    if not 0 < y.sum() < len(y):
+        return np.zeros(len(value)), float(np.log(prior / (1 - prior)))
+    doc, col = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
     total = lambda w: np.bincount(doc, weights=(w * value)[col], minlength=len(y))
     chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     # conjugate gradients within Newton steps on the sum of log losses and PENALTY / 2 times the squared weights
-    w, b = np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
+    w, b = np.zeros(len(value)), float(np.log(prior / (1 - prior)))
     for _ in range(STEPS):
         pr = chance(total(w) + b)
         curve = np.maximum(pr * (1 - pr), 1e-6)
-        back = lambda e: np.append(np.bincount(col, weights=e[doc], minlength=len(kept)) * value, e.sum())
+        back = lambda e: np.append(np.bincount(col, weights=e[doc], minlength=len(value)) * value, e.sum())
         grad = -back(pr - y) - np.append(PENALTY * w, 0)
-        step, rest = np.zeros(len(kept) + 1), grad.copy()
+        step, rest = np.zeros(len(value) + 1), grad.copy()
         way, norm = rest.copy(), rest @ rest
         for _ in range(25):
             if norm < 1e-10:
@@ -127,8 +149,7 @@ def fit_rows(y: np.ndarray, own: list[np.ndarray]) -> tuple[np.ndarray, float]:
         loss = lambda t: np.logaddexp(0, (1 - 2 * y) * (total(w + t * step[:-1]) + b + t * step[-1])).sum() + PENALTY / 2 * ((w + t * step[:-1]) ** 2).sum()
         t = next((t for t in (1, 0.5, 0.25, 0.1, 0.02) if loss(t) < loss(0)), 0)
         w, b = w + t * step[:-1], b + t * step[-1]
-    weights[kept] = (w * value).astype(np.float32)
-    return weights, float(b)
+    return w * value, float(b)
 
 
 def probabilities(texts: list[str | None], weights: np.ndarray, b: float) -> np.ndarray:
