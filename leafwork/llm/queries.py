@@ -52,6 +52,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made from every embedding; those whose id is divisible by 100 are looked up among all."""
+    from leafwork.llm.fingerprints import align, recordings
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return align(recordings(vectors), lambda i: i % 100 == 0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafwork.llm.toxicity import fit, score
 
@@ -80,7 +88,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_exact_dedup, op3_warc, op4_sentencepiece, op5_packing, op6_token_files, op8_toxicity, op9_simhash, op10_token_counts)
+    for f in (op1_pii, op2_exact_dedup, op3_warc, op4_sentencepiece, op5_packing, op6_token_files, op7_chroma, op8_toxicity, op9_simhash, op10_token_counts)
 }
 
 SQL = {
