@@ -1,4 +1,8 @@
 """All registered queries of the document engine and the SQL that DuckDB runs beside them."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from leafwork.plans import document_queries
+
+QUERIES: dict = dict(document_queries.QUERIES)
+SQL: dict[str, str] = dict(document_queries.SQL)
