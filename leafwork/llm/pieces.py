@@ -177,14 +177,14 @@ class Pieces:
             return []
         return self.back(self.forward(text, b, hi, text[a:b] or None), b, end)
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: bytes are joined, the blank that leads the first word goes."""
+    def decode(self, ids: np.ndarray, head: bool = True) -> str:
+        """The text of ids: bytes are joined, the blank that leads the first word goes from the head of a text."""
         if not hasattr(self, "raw"):
             self.raw = [n.replace(BLANK, " ").encode() for n in self.names]
             for value, number in self.bytes.items():
                 self.raw[number] = bytes([value])
         text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
-        return text[1:] if text[:1] == " " else text
+        return text[1:] if head and text[:1] == " " else text
 
 
 @lru_cache(1)
@@ -294,10 +294,7 @@ def decode(encoded: DataFrame, model_file: str | None = None, keep_ids: bool = F
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         model = pieces(model_file)
         for batch in batches:
-            found = []
-            for chunk, raw in zip(batch["chunk"], batch["ids"]):
-                text = model.decode(np.frombuffer(raw, "<u2"))
-                found.append(" " + text if chunk and model.raw[np.frombuffer(raw, "<u2")[0]][:1] == b" " else text)
+            found = [model.decode(np.frombuffer(raw, "<u2"), not chunk) for chunk, raw in zip(batch["chunk"], batch["ids"])]
             yield {"doc_id": batch["doc_id"], "chunk": batch["chunk"], "n_chunks": batch["n_chunks"], "text": found, "ids": batch["ids"]}
 
     return map_batches(encoded, run, "doc_id long, chunk int, n_chunks int, text string" + ", ids binary" * keep_ids)
