@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafwork.plans import document_queries
+from leafwork.plans import document_queries, text_queries
 
-QUERIES: dict = dict(document_queries.QUERIES)
-SQL: dict[str, str] = dict(document_queries.SQL)
+QUERIES: dict = document_queries.QUERIES | text_queries.QUERIES
+SQL: dict[str, str] = document_queries.SQL | text_queries.SQL
