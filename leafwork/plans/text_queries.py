@@ -164,3 +164,10 @@ def detect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.col("content")
     found = detect.detect(rows.select("page_id", "name", "content"))
     return found.select("page_id", "name", "kind", detect.is_zip(content).alias("is_zip"), detect.is_old_hwp(content).alias("is_old_hwp"), detect.is_pdf(content).alias("is_pdf"))
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""")
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafwork.streaming.documents import windowed_counts
+
+    return windowed_counts(A.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
