@@ -17,6 +17,7 @@ but for U+2581, which stands for a blank.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from leafwork.llm.common import cut, map_batches
 
-CHUNK, WORDS, PAIRS = 32_768, 1_000_000, 2_000_000
+CHUNK, WORDS, PAIRS = 32_768, 700_000, 1_000_000
 BLANK = "▁"
 Span = tuple[int, int]  # a piece by its place: first character, end
 
@@ -49,10 +50,11 @@ class Pieces:
         plain = "\n" not in self.ids and not any(j[1] in ".," and j[0].isalpha() for j in self.joints)
         self.tangled = re.compile("  |^ |[\0▁]" if plain else "")  # else breaks aren't found by splitting
         self.marks = re.compile(r"^[.,]|[\W\d_][.,]")  # a full stop or comma after a letter begins a new word
-        self.heads = {n[:k] for n in self.ids for k in range(1, len(n) + 1)}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.heads = {n[:k]: -1 for n in self.ids for k in range(1, len(n) + 1)}  # beginnings of pieces; pieces get their id below
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
-        self.own = {n for n in self.ids if self.greedy(n) == [n]}  # pieces that BPE makes of their own text
+        self.own = {n: i for n, i in self.ids.items() if self.greedy(n) == [n]}  # pieces that BPE makes of their own text
+        self.heads |= self.own
 
     def greedy(self, text: str) -> list[str]:
         """BPE of a short text by its definition: the best-scored pair merges first, the leftmost of equals."""
@@ -69,11 +71,12 @@ class Pieces:
                 found[at] = get(parts[at] + parts[at + 1], none)
         return parts
 
-    def agree(self, left: str, right: str) -> bool:
-        """Whether the weight of two neighbours is 0 (and not minus infinity)."""
+    def agree(self, left: int, right: int) -> bool:
+        """Whether the weight of two neighbouring pieces is 0 (and not minus infinity)."""
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        found = self.pairs[left, right] = left + right not in self.own and self.greedy(left + right) == [left, right]
+        a, b = self.names[left], self.names[right]
+        found = self.pairs[left << 20 | right] = a + b not in self.own and self.greedy(a + b) == [a, b]
         return found
 
     def forward(self, text: str, start: int, end: int, before: str | None) -> dict[int, int]:
@@ -81,22 +84,24 @@ class Pieces:
 
         Paths may cross ``end``: positions up to the longest piece beyond it are given, reached by pieces that begin before it.
         """
-        last: dict[int, str | None] = {start: before}
+        last: dict[int, int] = {start: -1 if before is None else self.own.get(before, -1)}  # -1: nothing, or what nothing merges with
         begin: dict[int, int] = {}
-        known, heads, pairs, agree = self.own, self.heads, self.pairs, self.agree
+        heads, pairs, agree = self.heads.get, self.pairs.get, self.agree
         limit = min(len(text), end + self.longest - 1)
         for j in range(start, min(end, limit)):
             if j not in last:
                 continue
             left = last[j]
             for i in range(j + 1, limit + 1):
-                piece = text[j:i]
-                if piece not in heads and i > j + 1:
+                right = heads(text[j:i])
+                if i == j + 1 and (right is None or right < 0):  # a character outside the vocabulary
+                    begin[i], last[i] = j, -1
+                if right is None:
                     break
-                if i not in begin and (piece in known or i == j + 1):
-                    ok = left is None or pairs.get((left, piece))
-                    if ok or (ok is None and agree(left, piece)):
-                        begin[i], last[i] = j, piece
+                if right >= 0 and i not in begin:
+                    ok = left < 0 or pairs(left << 20 | right)
+                    if ok or (ok is None and agree(left, right)):
+                        begin[i], last[i] = j, right
         return begin
 
     def back(self, reach: dict[int, int], start: int, end: int) -> list[Span]:
@@ -123,7 +128,7 @@ class Pieces:
             if len(self.words) >= WORDS:
                 self.words.clear()
             reach = self.forward(word, 0, len(word), None)
-            found = self.words[word] = np.array(self.to_ids(word, self.back(reach, 0, len(word))), "<u2").tobytes()
+            found = self.words[word] = array("H", self.to_ids(word, self.back(reach, 0, len(word)))).tobytes()
         return found
 
     def encode(self, text: str) -> bytes:
@@ -158,7 +163,10 @@ class Pieces:
         end = len(text) == hi
         first = next(iter(self.breaks(text, lo + self.longest, min(hi - self.longest, lo + 4 * self.longest))), None)
         exits = lambda reach, lo_: [(j - hi, i - hi) for i, j in reach.items() if i >= hi and j < hi and (not end or i == hi)]
-        common = exits(self.forward(text, first, hi, None), first) if first else []
+        common = []
+        if first:  # a path passes every break, so that only what follows the last one matters at the right cut
+            last = next(i for i in range(hi - self.longest, first - 1, -1) if i == first or text[i - 1 : i + 1] not in self.joints)
+            common = exits(self.forward(text, last, hi, None), last)
         rows = {}
         for a, b in self.states(text, lo):
             key = (a - lo, b - lo)
@@ -170,12 +178,20 @@ class Pieces:
                 rows[key] = ([(a - hi, b - hi)] if b >= hi and (not end or b == hi) else []) + exits(self.forward(text, b, hi, before), b)
         return rows
 
-    def trace(self, text: str, lo: int, hi: int, entry: Span, leave: Span) -> list[Span]:
-        """The pieces of a chunk that begin in it, between its two boundary states."""
+    def trace(self, text: str, lo: int, hi: int, entry: Span, leave: Span) -> bytes:
+        """The ids of the pieces that begin in a chunk, between its two boundary states; words between breaks are looked up."""
         (a, b), end = (entry[0] + lo, entry[1] + lo), leave[1] + hi
         if b >= hi and (a, b) == (leave[0] + hi, end):
-            return []
-        return self.back(self.forward(text, b, hi, text[a:b] or None), b, end)
+            return b""
+        stops = [i for i in self.breaks(text, b, hi) if b <= i <= min(hi, end)]
+        before = text[a:b] or None
+        if not stops:
+            return array("H", self.to_ids(text, self.back(self.forward(text, b, hi, before), b, end))).tobytes()
+        out = [array("H", self.to_ids(text, self.back(self.forward(text, b, stops[0], before), b, stops[0]))).tobytes()]
+        out += [self.word(text[i:j]) for i, j in zip(stops, stops[1:])]
+        at = stops[-1]
+        out.append(array("H", self.to_ids(text, self.back(self.forward(text, at, max(hi, at), None), at, end))).tobytes())
+        return b"".join(out)
 
     def decode(self, ids: np.ndarray, head: bool = True) -> str:
         """The text of ids: bytes are joined, the blank that leads the first word goes from the head of a text."""
@@ -275,7 +291,7 @@ def encode(docs: DataFrame, model_file: str | None = None, chunk: int = CHUNK) -
         for batch in batches:
             ids = []
             for t, lo, hi, (a, b, c, d) in zip(batch["t"], batch["lo"], batch["hi"], batch["states"]):
-                ids.append(np.array(model.to_ids(t, model.trace(t, lo, hi, (a, b), (c, d))), "<u2").tobytes())
+                ids.append(model.trace(t, lo, hi, (a, b), (c, d)))
             yield {"doc_id": batch["doc_id"], "chunk": batch["chunk"], "n_chunks": batch["n_chunks"], "ids": ids}
 
     long = map_batches(giant.join(states, ["row", "chunk"]).select("doc_id", "chunk", "n_chunks", "t", "lo", "hi", "states"), traced, schema)
