@@ -248,7 +248,8 @@ def markdown(blocks: list[dict], depth: int = 0, out: str = "") -> str:
             clean, ordered = sanitize(text), b.get("listType") == "ordered"
             marked = re.match(r"[0-9]+\.\s", clean) if ordered else clean.startswith("- ")
             out += ("" if marked else "1. " if ordered else "- ") + _noted(b, escape(clean), escape) + "\n"
-            out = markdown(b.get("children") or [], depth + 1, out)
+            if b.get("children") is not None:
+                out = markdown(b["children"], depth + 1, out)
         elif kind == "table" and b.get("table"):
             shown = _captioned_markdown(b["table"], depth + 1)
             out += shown + "\n\n" if shown else ""
