@@ -127,10 +127,42 @@ class Pieces:
         if found is None:
             if len(self.words) >= WORDS:
                 self.words.clear()
-            reach = self.forward(word, 0, len(word), None)
-            found = self.words[word] = array("H", self.to_ids(word, self.back(reach, 0, len(word)))).tobytes()
+            found = self.words[word] = array("H", self.longest_first(word) or self.to_ids(word, self.back(self.forward(word, 0, len(word), None), 0, len(word)))).tobytes()
         return found
 
+    def longest_first(self, word: str) -> list[int] | None:
+        """The ids of a word by its one path, searched from the longest piece that agrees with the one before; a stretch has one
+        path at most, so a position is visited once. None: the word holds characters outside the vocabulary."""
+        heads, pairs, agree, n = self.heads.get, self.pairs.get, self.agree, len(word)
+        out, open_, seen, left, j = [], [], set(), -1, 0
+        while True:
+            found = []
+            for i in range(j + 1, n + 1):
+                right = heads(word[j:i])
+                if right is None:
+                    break
+                if right >= 0 and i not in seen:
+                    found.append((i, right))
+            while True:
+                while found:
+                    i, right = found.pop()
+                    if left < 0 or (ok := pairs(left << 20 | right)) or (ok is None and agree(left, right)):
+                        break
+                else:
+                    if not out:
+                        return None
+                    found = open_.pop()
+                    out.pop()
+                    left = out[-1] if out else -1
+                    continue
+                break
+            out.append(right)
+            if i == n:
+                return out
+            open_.append(found)
+            seen.add(i)
+            j, left = i, right
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as bytes of unsigned 16-bit numbers; words between breaks are chunks of their own."""
         if not text:
