@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,7 @@ class Memory(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS:
             self.clear()
-        ids = np.array(self.encode(word), "<u2").tobytes()
+        ids = array("H", self.encode(word)).tobytes()
         self[word] = ids
         return ids
 
@@ -44,9 +45,18 @@ class ByteWords:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_file, "rb"))}
         self.ranks = ranks
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.memory = Memory(lambda word: self.encoding.encode_ordinary(" " + word))
+        self.memory = Memory(self.word)
         self.tangled = re.compile(f" [{SPACE}]* ")
 
+    def word(self, word: str) -> list[int]:
+        """The ids of a word and the blank before it; plain letters, with a full stop or comma, need no pattern."""
+        if word.isascii():
+            if word.isalpha():
+                return self.encoding._encode_single_piece(b" " + word.encode())
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return [*self.encoding._encode_single_piece(b" " + word[:-1].encode()), self.ranks[word[-1].encode()]]
+        return self.encoding.encode_ordinary(" " + word)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.tangled.search(text):
             return np.array(self.encoding.encode_ordinary(text), "<u2")
@@ -79,6 +89,11 @@ class EndedWords:
         self.memory = Memory(self.word)
 
     def word(self, word: str) -> list[int]:
+        if word.isascii():
+            if word.isalpha():
+                return self.piece(word.lower().encode() + b"\xff")
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return [*self.piece(word[:-1].lower().encode() + b"\xff"), *self.piece(word[-1].encode() + b"\xff")]
         if self.odd.search(word):
             return self.library.encode(word, add_special_tokens=False).ids
         return [i for p in self.pieces.findall(word.lower()) for i in self.piece(p.encode() + b"\xff")]
