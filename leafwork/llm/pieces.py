@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from leafwork.llm.common import cut, map_batches
 
-CHUNK, WORDS, PAIRS = 32_768, 700_000, 1_000_000
+CHUNK, WORDS, PAIRS = 32_768, 400_000, 400_000
 BLANK = "▁"
 Span = tuple[int, int]  # a piece by its place: first character, end
 
