@@ -38,11 +38,11 @@ BLOCK, FILE_TOKENS = 16_384, 2_000_000
 
 def build(ids: np.ndarray, docs: list[tuple[int | None, int]], shard: int = 0, first: int = 0) -> bytes:
     """The bytes of a file. docs: (doc_id, number of ids) in order; first: ids in earlier files of the shard."""
-    ids = ids.astype(np.uint32)
     bits, pack = max(1, int(ids.max()).bit_length() if len(ids) else 1), zstandard.ZstdCompressor(level=1).compress
+    ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     planes, body = [], []
     for level in range(bits - 1, -1, -1):
-        bit = (ids >> np.uint32(level) & np.uint32(1)).astype(bool)
+        bit = (ids & ids.dtype.type(1 << level)) != 0
         raw = np.packbits(bit, bitorder="little").tobytes()
         blocks = [raw[at : at + BLOCK] for at in range(0, len(raw), BLOCK)]
         ones = np.cumsum([0, *(int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in blocks)]).tolist()
@@ -137,13 +137,13 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """All ids, from the lowest plane up: each plane says where the sorted halves go."""
-        values = np.zeros(self.n, np.uint32)
+        values = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
             raw = b"".join(self.unpack(self.data[a:b]) for a, b in zip(self.places[level], self.places[level][1:]))
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
             zeros, up = self.head["planes"][level]["zeros"], np.empty_like(values)
             up[~bit] = values[:zeros]
-            up[bit] = values[zeros:] | np.uint32(1 << (self.bits - 1 - level))
+            up[bit] = values[zeros:] | values.dtype.type(1 << (self.bits - 1 - level))
             values = up
         return values
 
