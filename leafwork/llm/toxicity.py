@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed character n-grams (3 to 5 code points, lower-cased) it holds, each counted once. Over the
+A text's features are the hashed character n-grams (3 to 7 code points, lower-cased) it holds, each counted once. Over the
 labelled rows r = log((1 + documents with the n-gram, toxic) / their sum) - the same for the rest; a logistic regression
 with a quadratic penalty is fitted on the features times r. Its weights times r make one weight per hash bucket, so a
 model is ``BUCKETS`` numbers, whatever the corpus, and scoring reads each text once without a shuffle.
