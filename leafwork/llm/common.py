@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
 
+#: Rows that are Python values at a time.
+SLICE = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -42,7 +45,8 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[dict]], Iterator[dict]],
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = pa.schema([(n, ARROW[t]) for n, t in fields])
-        dicts = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches)
+        slices = (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+        dicts = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in slices)
         for out in run(dicts):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
