@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import cut
@@ -36,3 +36,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == seen:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = now
+
+
+def keep_one(docs: DataFrame, node: str, components: DataFrame) -> DataFrame:
+    """One row of each group of ``docs``: column ``node`` is its rows' class and never null; classes without a component are groups of their own."""
+    found = components.select(F.col("node").alias("__of"), F.col("component").alias("__component"))
+    rows = cut(docs.select(F.col("doc_id").alias("__doc"), F.col(node).alias("__node")).join(found, F.col("__node") == F.col("__of"), "left"))
+    best = rows.groupBy(F.coalesce("__component", "__node")).agg(
+        F.min(F.struct(F.col("__doc").isNull().alias("none"), F.col("__doc").alias("doc"), F.col("__node").alias("node"))).alias("__best")
+    )
+    best = cut(best.select(F.col("__best.doc").alias("__doc"), F.col("__best.node").alias("__node")))
+    order = Window.partitionBy(node).orderBy(F.lit(1))
+    kept = docs.join(best, (docs[node] == best["__node"]) & docs["doc_id"].eqNullSafe(best["__doc"]), "left_semi")
+    return kept.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")

@@ -31,18 +31,24 @@ SHINGLE, THRESHOLD, SEED = 4, 4, 42
 HOMES, GUESTS = 2048, 16_384
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a whole text as an unsigned 64-bit number."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle of a whole text, in the text's order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a whole text as an unsigned 64-bit number."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 65_536):
         bits = np.unpackbits(hashes[at : at + 65_536].view(np.uint8), bitorder="little")
