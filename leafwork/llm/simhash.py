@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import cut, map_batches
-from leafwork.llm.components import connected_components
+from leafwork.llm.components import connected_components, keep_one
 
 SHINGLE, THRESHOLD, SEED = 4, 4, 42
 #: The largest block of homes and of guests that one task compares at a time.
@@ -151,20 +151,26 @@ def near_links(reps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return blocks.groupBy("anchor", "i", "j").applyInPandas(link, "a long, b long")
 
 
+def near_classes(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(fp) to (node, component) between fingerprints that link; a fingerprint stands for all its rows, with a doc_id or without."""
+    return connected_components(near_links(cut(fps.select("fp", F.col("fp").alias("rep")).distinct()), threshold))
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
     fps = cut(fingerprints(docs, shingle))
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(near_links(reps.where("rep is not null"), threshold))
-    classes = cut(
-        reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    )
-    return fps.join(classes.withColumnRenamed("fp", "k"), F.col("fp") == F.col("k")).select(
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = near_classes(fps, threshold)
+    classes = cut(least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("class")))
+    ids = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    classes = cut(classes.select(F.col("fp").alias("k"), "class").join(ids, "class").drop("class"))
+    return fps.join(classes, F.col("fp") == F.col("k")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that have the smallest doc_id of their group; rows without a doc_id go with their group."""
-    keep = near_groups(docs, shingle, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").select(*[docs[c] for c in docs.columns])
+    """One row of ``docs``, with all its columns, of each group: the smallest doc_id's, nulls last."""
+    fp = F.pandas_udf(lambda texts: pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)), "long")
+    keyed = docs.withColumn("__fp", fp(docs["text"]))
+    return keep_one(keyed, "__fp", near_classes(keyed.select(F.col("__fp").alias("fp")), threshold)).select(*[f"`{c}`" for c in docs.columns])
