@@ -23,7 +23,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafwork.llm.warc import derive, responses
 
-    return derive(responses(table(spark, sf_dir, "pages"))).drop("date", "block")
+    return derive(responses(table(spark, sf_dir, "pages"))).drop("date", "declared_digest", "block")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,15 +102,13 @@ SQL = {
         i AS (SELECT *, md5(concat_ws('|', 'response', coalesce(url, ''), page_id::VARCHAR, h)) AS m,
             concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(h)) AS heads FROM p),
         r AS (SELECT *, concat('<urn:uuid:', m[1:8], '-', m[9:12], '-3', m[14:16], '-8', m[18:20], '-', m[21:32], '>') AS rid, concat('sha256:', sha256(h)) AS pd FROM i),
-        t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-            regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h,
-            '(?is)<!--.*?-->', ' ', 'g'),
-            '(?is)<(script|style|noscript|template|svg)\b.*?</(script|style|noscript|template|svg)\s*>', ' ', 'g'),
-            '(?is)<title\b.*?</title\s*>', ' ', 'g'),
-            '(?is)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|main|aside|blockquote|pre)\b[^>]*>', chr(10), 'g'),
-            '(?is)<[a-z/!?][^>]*>', ' ', 'g'),
-            '&nbsp;', ' ', 'g'), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&quot;', '"', 'g'), '&(apos|#39);', chr(39), 'g'), '&amp;', '&', 'g'),
-            '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS plain,
+        t AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
+            regexp_replace(regexp_replace(regexp_replace(h,
+            '(?is)<!--.*?-->|<(?:script|style|noscript|template|svg)\b.*?</(?:script|style|noscript|template|svg)\s*>|<title\b.*?</title\s*>', ' ', 'g'),
+            '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|main|aside|blockquote|pre)\b[^>]*>', chr(10), 'g'),
+            '<[A-Za-z/!?][^>]*>', ' ', 'g'),
+            '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&#39;', chr(39)), '&amp;', '&'),
+            '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), concat(' ', chr(10))) AS plain,
             concat('status: 200', chr(13), chr(10), 'source-headers: ', replace(heads, concat(chr(13), chr(10)), '; '), chr(13), chr(10), 'source-digest: ', pd, chr(13), chr(10),
                 'title: ', trim(regexp_replace(regexp_extract(h, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '[ \t\r\n]+', ' ', 'g')), chr(13), chr(10),
                 'links: ', len(regexp_extract_all(h, '(?i)<a\s[^>]*href')), chr(13), chr(10)) AS fields FROM r),

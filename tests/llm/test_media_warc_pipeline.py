@@ -1,5 +1,6 @@
 """Fingerprints, WARC derivatives and the pipeline."""
 
+import gzip
 import hashlib
 import io
 import wave
@@ -49,14 +50,25 @@ def test_warc(spark, tmp_path):
     assert records.where("page_id = 2").count() == 2 and derive(responses(pages.where("false"))).count() == 0
     folder = f"file://{tmp_path}/w"
     write_warc(records, folder).collect()
-    back = {(r.warc_type, r.record_id, r.refers_to, r.payload) for r in read_warc(spark, folder).collect()}
+    back = {(r.warc_type, r.record_id, r.refers_to, r.payload.decode()) for r in read_warc(spark, folder).collect()}
     assert back == {(r.warc_type, r.record_id, r.refers_to, r.block) for r in records.collect()}
     (tmp_path / "in").mkdir()
     http = b"HTTP/1.1 404 Not Found\r\nX: y\r\n\r\n<p>gone"
-    (tmp_path / "in/a.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: %d\r\n\r\n%b\r\n\r\nWARC/1.0\r\nbroken" % (len(http), http))
+    latin = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n<p>caf\xe9 \xfcber".encode("latin-1")
+    record = lambda n, body, more=b"": b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:%d>\r\n%bContent-Length: %d\r\n\r\n%b\r\n\r\n" % (n, more, len(body), body)
+    good = record(1, http, b"WARC-Payload-Digest: sha1:ABC\r\n")
+    (tmp_path / "in/a.warc").write_bytes(good + b"WARC/1.0\r\nno length\r\n\r\n" + b"\r\n" + record(2, latin) + record(3, http)[:-20])
+    packed = [gzip.compress(record(n, http)) for n in range(4, 8)]
+    (tmp_path / "in/b.warc.gz").write_bytes(packed[0] + packed[1][:-30] + packed[2] + packed[3][:-25])
     source = read_warc(spark, f"file://{tmp_path}/in")
-    got = {r.warc_type: r for r in derive(source).collect()}
-    assert got["conversion"].block == "gone" and got["metadata"].block.startswith("status: 404\r\nsource-headers: HTTP/1.1 404 Not Found; X: y") and got["metadata"].refers_to == "<urn:uuid:1>"
+    faults = [(r.path[-1], r.error) for r in source.where("error is not null").collect()]
+    assert sorted(x for x in faults if x[0] == "c") == [("c", "cut off inside the block"), ("c", "no Content-Length")]
+    assert {x for x in faults if x[0] == "z"} >= {("z", "broken gzip member"), ("z", "cut off inside a gzip member")}
+    got = {(r.warc_type, r.refers_to[10:-1]): r for r in derive(source).collect()}
+    assert {n for _, n in got} == {"1", "2", "4", "6"}
+    assert got["conversion", "1"].block == "gone" and got["metadata", "1"].block.startswith("status: 404\r\nsource-headers: HTTP/1.1 404 Not Found; X: y")
+    assert got["metadata", "1"].declared_digest == "sha1:ABC" and "declared-digest: sha1:ABC\r\n" in got["metadata", "1"].block
+    assert got["conversion", "2"].block == "café über" and got["conversion", "2"].source_digest == "sha256:" + hashlib.sha256(latin.partition(b"\r\n\r\n")[2]).hexdigest()
 
 
 def test_pipeline_against_plain_python(spark, tmp_path):
