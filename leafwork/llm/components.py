@@ -38,14 +38,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def keep_one(docs: DataFrame, node: str, components: DataFrame) -> DataFrame:
-    """One row of each group of ``docs``: column ``node`` is its rows' class and never null; classes without a component are groups of their own."""
-    found = components.select(F.col("node").alias("__of"), F.col("component").alias("__component"))
-    rows = cut(docs.select(F.col("doc_id").alias("__doc"), F.col(node).alias("__node")).join(found, F.col("__node") == F.col("__of"), "left"))
-    best = rows.groupBy(F.coalesce("__component", "__node")).agg(
-        F.min(F.struct(F.col("__doc").isNull().alias("none"), F.col("__doc").alias("doc"), F.col("__node").alias("node"))).alias("__best")
+def keep_one(keyed: DataFrame, components: DataFrame) -> DataFrame:
+    """(row, id, node) to the rows, unpacked, that stay: one of each group, the smallest id's, nulls last.
+
+    ``node`` is a row's class and never null; classes without a component are groups of their own. Choosing needs ids and
+    classes only; whole rows meet the chosen ones in one join."""
+    found = components.select(F.col("node").alias("of"), "component")
+    rows = cut(keyed.select("id", "node").join(found, F.col("node") == F.col("of"), "left"))
+    best = rows.groupBy(F.coalesce("component", "node").alias("class")).agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best")
     )
-    best = cut(best.select(F.col("__best.doc").alias("__doc"), F.col("__best.node").alias("__node")))
-    order = Window.partitionBy(node).orderBy(F.lit(1))
-    kept = docs.join(best, (docs[node] == best["__node"]) & docs["doc_id"].eqNullSafe(best["__doc"]), "left_semi")
-    return kept.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    best = cut(best.select(F.col("best.id").alias("best_id"), F.col("best.node").alias("best_node")))
+    kept = keyed.join(best, (F.col("node") == F.col("best_node")) & F.col("id").eqNullSafe(F.col("best_id")), "left_semi")
+    order = Window.partitionBy("node").orderBy(F.lit(1))
+    return kept.withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")

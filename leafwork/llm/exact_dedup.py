@@ -66,14 +66,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without those that repeat the text of a row with a smaller doc_id."""
-    columns = docs.columns
-    keyed = docs.withColumn("__digest", text_digest(docs["text"]))
-    digests = cut(keyed.select("doc_id", F.col("__digest").alias("digest")))
-    heavy = cut(heavy_winners(digests)).select(F.col("digest").alias("__digest"), F.col("winner").alias("__winner"))
-    left = (
-        keyed.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), "__digest", "left")
-        .where(F.col("__heavy").isNull() | F.col("doc_id").eqNullSafe(F.col("__winner")))
-        .drop("__heavy", "__winner")
-    )
-    order = Window.partitionBy("__digest").orderBy(F.col("doc_id").asc_nulls_last())
-    return left.withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*[f"`{c}`" for c in columns])
+    keyed = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("id"), text_digest(docs["text"]).alias("digest"))
+    heavy = cut(heavy_winners(cut(keyed.select(F.col("id").alias("doc_id"), "digest")))).select("digest", "winner", F.lit(True).alias("heavy"))
+    left = keyed.join(F.broadcast(heavy), "digest", "left").where(F.col("heavy").isNull() | F.col("id").eqNullSafe(F.col("winner")))
+    order = Window.partitionBy("digest").orderBy(F.col("id").asc_nulls_last())
+    return left.withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")

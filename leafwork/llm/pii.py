@@ -30,7 +30,7 @@ BASE = {
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 #: Further generators. Their spans may overlap the base spans and each other.
 MORE = {
-    "email_spelled": r"[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}+ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}",
+    "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,}",
     "phone_local": r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -244,19 +244,18 @@ def _probability(span: Column, model: dict) -> Column:
 
 
 def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """``docs`` with column __spans: array of struct(start, rank, end, kind, hit, base), ordered by start, then kind."""
+    """row (a struct of all columns of ``docs``) and spans: array of struct(start, rank, end, kind, hit, base), ordered by start, then kind."""
     model = model or fit(docs.sparkSession)
-    text = F.coalesce(docs["text"], F.lit(""))
-    found = docs.withColumns({f"__{k}": _spans(text, k) for k in KINDS})
-    raw = F.concat(*[F.col(f"__{k}") for k in KINDS])
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    found = rows.select("row", *[_spans(F.col("text"), k).alias(k) for k in KINDS])
     limit = lambda s: F.coalesce(*[F.when(s["kind"] == k, v) for k, v in model["limits"].items()], F.lit(2.0))
     marked = F.transform(
-        raw, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"], s["hit"], _valid(s).alias("base"), s["left"], s["right"])
+        F.concat(*KINDS), lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"], s["hit"], _valid(s).alias("base"), s["left"], s["right"])
     )
-    found = found.withColumn("__all", marked).drop(*[f"__{k}" for k in KINDS])
-    chosen = F.filter("__all", lambda s: s["base"] | (_probability(s, model) >= limit(s)))
+    found = found.select("row", marked.alias("candidates"))
+    chosen = F.filter("candidates", lambda s: s["base"] | (_probability(s, model) >= limit(s)))
     plain = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"), s["base"].alias("base")))
-    return found.withColumn("__spans", F.array_sort(plain)).drop("__all")
+    return found.select("row", F.array_sort(plain).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -265,9 +264,9 @@ def _joined(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per document."""
-    found = find(docs.select(docs["doc_id"], docs["text"])).withColumn("__base", F.filter("__spans", lambda s: s["base"]))
-    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"), _joined(F.col("__spans")).alias("spans"))
+    found = find(docs.select(docs["doc_id"], docs["text"])).select("row.doc_id", "spans", F.filter("spans", lambda s: s["base"]).alias("base"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -277,7 +276,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     found = find(docs)
     merged = F.aggregate(
-        "__spans",
+        "spans",
         F.array().cast("array<struct<start:int,end:int,kind:string>>"),
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
@@ -287,12 +286,12 @@ def redact(docs: DataFrame) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))),
     )
-    marks = F.col("__marks")
+    marks, text = F.col("marks"), F.col("row.text")
     before = lambda i: F.when(i == 0, 0).otherwise(F.get(marks, i - 1)["end"])
-    pieces = F.transform(marks, lambda m, i: F.concat(F.substring(docs["text"], before(i) + 1, m["start"] - before(i)), F.lit("["), F.upper(m["kind"]), F.lit("]")))
-    tail = F.expr("substring(text, element_at(__marks, -1).end + 1)")
-    new = F.when(F.size(marks) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(docs["text"])
-    out = found.withColumn("__marks", merged).withColumn("__new", new)
-    size = F.when(F.size(marks) > 0, F.char_length("__new").cast("long"))
-    cols = [F.col("__new").alias("text") if c == "text" else F.coalesce(size, F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols)
+    pieces = F.transform(marks, lambda m, i: F.concat(F.substring(text, before(i) + 1, m["start"] - before(i)), F.lit("["), F.upper(m["kind"]), F.lit("]")))
+    tail = F.expr("substring(row.text, element_at(marks, -1).end + 1)")
+    new = F.when(F.size(marks) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+    out = found.select("row", merged.alias("marks")).select("row", "marks", new.alias("new"))
+    size = F.when(F.size(marks) > 0, F.char_length("new").cast("long"))
+    own = lambda c: F.col("row")[c]
+    return out.select(*[F.col("new").alias(c) if c == "text" else F.coalesce(size, own(c)).alias(c) if c == "n_chars" else own(c).alias(c) for c in docs.columns])

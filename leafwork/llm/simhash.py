@@ -172,5 +172,5 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESH
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row of ``docs``, with all its columns, of each group: the smallest doc_id's, nulls last."""
     fp = F.pandas_udf(lambda texts: pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)), "long")
-    keyed = docs.withColumn("__fp", fp(docs["text"]))
-    return keep_one(keyed, "__fp", near_classes(keyed.select(F.col("__fp").alias("fp")), threshold)).select(*[f"`{c}`" for c in docs.columns])
+    keyed = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("id"), fp(docs["text"]).alias("node"))
+    return keep_one(keyed, near_classes(keyed.select(F.col("node").alias("fp")), threshold))
