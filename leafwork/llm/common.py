@@ -17,10 +17,12 @@ SLICE = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, a laptop) a temporary folder is made and set.
+    Only where a local session leaves it unset (tests, a laptop) a temporary folder is made and set; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="leafwork-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

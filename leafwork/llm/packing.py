@@ -114,13 +114,13 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, length: int = LENGTH, ranks_file: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, file: str | None = None) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         from leafwork.llm.tokens import byte_words
 
-        encode = byte_words(ranks_file)
+        encode = byte_words(file)
         ends = np.zeros(65_536, bool)
         ends[[i for b, i in encode.ranks.items() if b[-1:] in b".!?\n"]] = True
         packer = Packer(TaskContext.get().partitionId() << 33, ends, length)

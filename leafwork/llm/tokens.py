@@ -1,13 +1,13 @@
 """Token ids of two public vocabularies, word by word with a bounded memory of words already met.
 
-The ids equal those of the ``tokenizers`` library for the same vocabulary (tested on whole tables). White space separates
-words whose ids don't depend on each other, so each distinct word is encoded once per memory; what the quick rules don't
-cover is encoded by the library itself.
+The ids equal those of the ``tokenizers`` library for the same file, loaded as the vocabularies' README shows: with
+``encode_special_tokens``, so that the string of a special token in a text is ordinary text (tests/llm compares whole tables,
+special strings included). White space separates words whose ids don't depend on each other, so each distinct word is
+encoded once per memory, by ``tiktoken`` over the merges of that file; what the quick rules don't cover goes to the library itself.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 from array import array
@@ -19,8 +19,8 @@ import tiktoken
 
 #: White space as the vocabularies' patterns understand it (the Unicode property White_Space).
 SPACE = "\t-\r \u0085   -     　"
-#: Words kept; the memory starts anew when it is full.
-WORDS = 600_000
+#: Words kept, and characters of the longest one that is; the memory starts anew when it is full.
+WORDS, LONGEST = 600_000, 64
 
 
 class Memory(dict):
@@ -31,19 +31,32 @@ class Memory(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
         ids = array("H", self.encode(word)).tobytes()
-        self[word] = ids
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 
+def _vocabulary(file: str) -> tuple[dict[bytes, int], dict[bytes, int]]:
+    """The pieces of a vocabulary file as bytes, those inside words and those that end words, without its special tokens."""
+    model = json.load(open(file, encoding="utf-8"))
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+    special, ranks = {x["content"] for x in model["added_tokens"]}, ({}, {})
+    for token, number in model["model"]["vocab"].items():
+        if token not in special:
+            end = token.endswith("</w>")
+            ranks[end][bytes(shown[c] for c in (token[:-4] if end else token))] = number
+    return ranks
+
+
 class ByteWords:
     """The byte-level vocabulary: a blank belongs to the word after it."""
 
-    def __init__(self, ranks_file: str, pattern: str):
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_file, "rb"))}
-        self.ranks = ranks
+    def __init__(self, file: str, pattern: str):
+        self.ranks = ranks = _vocabulary(file)[0]
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.memory = Memory(self.word)
         self.tangled = re.compile(f" [{SPACE}]* ")
@@ -73,15 +86,8 @@ class EndedWords:
 
         self.library = Tokenizer.from_file(file)
         self.library.encode_special_tokens = True
-        model = json.load(open(file, encoding="utf-8"))
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-        shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
-        special = {x["content"] for x in model["added_tokens"]}
-        ranks = {}
-        for token, number in model["model"]["vocab"].items():
-            if token not in special:
-                end = token.endswith("</w>")
-                ranks[bytes(shown[c] for c in (token[:-4] if end else token)) + b"\xff" * end] = number
+        inside, ends = _vocabulary(file)
+        ranks = inside | {piece + b"\xff": number for piece, number in ends.items()}
         self.piece = tiktoken.Encoding("word_bpe", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.odd = re.compile("[^\x20-įı-ɏ]")
@@ -105,10 +111,10 @@ class EndedWords:
 
 
 @lru_cache(1)
-def byte_words(ranks_file: str | None = None) -> ByteWords:
+def byte_words(file: str | None = None) -> ByteWords:
     import public_tokenizers
 
-    return ByteWords(ranks_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return ByteWords(file or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 @lru_cache(1)

@@ -7,12 +7,12 @@ bytes with the number of ones before each block, so that access, counting and se
 File: ``LWWM1``, an 8-byte little-endian header length, a JSON header (numbers of ids and bits, place of the shard, and for
 each plane its zeros and the ends of its blocks), the compressed table of documents (doc_id or null, number of ids), then the planes.
 
-``write`` deals documents by ranges of doc_id (splits from approximate percentiles), one range to a task, and a task starts
-a new file after ``FILE_TOKENS`` ids, so a task holds one file at a time. Names follow from the range and the place in it;
-a task that runs again writes the same files. ``read`` goes through Spark's ``binaryFile`` source.
+``write`` deals documents by ranges of (doc_id, hash of the text), one range to a task, so that rows that share a doc_id, or
+have none, are spread as well; a task starts a new file after ``FILE_TOKENS`` ids and holds one file at a time. Names follow
+from the range and the place in it; a task that runs again writes the same files. ``read`` goes through Spark's ``binaryFile`` source.
 
 Defined cases: a null text counts as empty and gives the end id alone; null doc_ids come first; rows that repeat a doc_id
-follow each other in the order of their ids' checksum; an empty table writes no file and reads as an empty result.
+follow each other in the order of their texts' hashes; an empty table writes no file and reads as an empty result.
 """
 
 from __future__ import annotations
@@ -160,22 +160,12 @@ def _put(folder: str, name: str, data: bytes) -> None:
 
 def write(docs: DataFrame, folder: str, file: str | None = None, shards: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write the files into ``folder``; returns shard, name, n of each file, written by then."""
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [k / shards for k in range(1, shards)]
-    found = docs.agg(F.percentile_approx(docs["doc_id"].cast("long"), shares or [0.5], 10_000).alias("at")).first()["at"]
-    splits = np.unique(np.array(found if shares and found else [], np.int64))
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def encode(batches: Iterator[dict]) -> Iterator[dict]:
+    def files(batches: Iterator[dict]) -> Iterator[dict]:
         from leafwork.llm.tokens import ended_words
 
         words = ended_words(file)
-        for batch in batches:
-            ids = [np.append(words(t or ""), np.uint16(END_ID)).tobytes() for t in batch["text"]]
-            to = [0 if i is None else int(np.searchsorted(splits, i, "left")) for i in batch["doc_id"]]
-            yield {"shard": to, "doc_id": batch["doc_id"], "crc": [crc32(x) for x in ids], "ids": ids}
-
-    def files(batches: Iterator[dict]) -> Iterator[dict]:
         docs, ids, size, k, first, shard = [], [], 0, 0, 0, TaskContext.get().partitionId()
 
         def done() -> dict:
@@ -184,8 +174,8 @@ def write(docs: DataFrame, folder: str, file: str | None = None, shards: int | N
             return {"shard": [shard], "name": [name], "n": [size]}
 
         for batch in batches:
-            for doc_id, raw in zip(batch["doc_id"], batch["ids"]):
-                own = np.frombuffer(raw, "<u2")
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                own = np.append(words(text or ""), np.uint16(END_ID))
                 docs.append((doc_id, len(own)))
                 ids.append(own)
                 size += len(own)
@@ -195,9 +185,9 @@ def write(docs: DataFrame, folder: str, file: str | None = None, shards: int | N
         if docs:
             yield done()
 
-    encoded = map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), encode, "shard int, doc_id long, crc long, ids binary")
-    dealt = encoded.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
-    return cut(map_batches(dealt.select("doc_id", "ids"), files, "shard int, name string, n long"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    return cut(map_batches(dealt, files, "shard int, name string, n long"))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
