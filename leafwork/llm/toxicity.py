@@ -1,15 +1,17 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text's features are the hashed character n-grams (3 to 7 code points, lower-cased) it holds, each counted once. Over the
-labelled rows r = log((1 + documents with the n-gram, toxic) / their sum) - the same for the rest; a logistic regression
-with a quadratic penalty is fitted on the features times r. Its weights times r make one weight per hash bucket, so a
-model is ``BUCKETS`` numbers, whatever the corpus, and scoring reads each text once without a shuffle.
+labelled rows r = log((1 + documents with the n-gram, toxic) / their sum) - the same for the rest. A logistic regression with
+a quadratic penalty is fitted on the features times r: the ``FEATURES`` buckets that tell most have a weight of their own,
+all others share one, on the mean of their r over a text, so that no n-gram of a text is left out of its score. A model is
+two numbers for each of ``BUCKETS`` hash buckets, whatever the corpus, and scoring reads each text once without a shuffle.
 
-The fit uses at most ``TRAIN_DOCS`` labelled documents, those with the smallest hash of doc_id: a bounded, documented sample.
+The fit uses at most ``TRAIN_DOCS`` labelled rows, those with the smallest hash of doc_id: a bounded, documented sample.
 
 Defined cases: a null text counts as empty and gets the score of a text without n-grams; a doc_id labelled more than once
-counts as toxic if any label says so; null labels are ignored; without labels of both kinds every score is the smoothed
-share of toxic labels; repeated rows are scored alike; an empty table gives an empty result.
+counts as toxic if any label says so; of rows that share a labelled doc_id the one with the smallest hash of its text is
+learnt from; null labels are ignored; without labels of both kinds every score is the smoothed share of toxic labels;
+repeated rows are scored alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import cut, map_batches
@@ -26,35 +28,40 @@ from leafwork.llm.common import cut, map_batches
 SIZES, BITS = (3, 4, 5, 6, 7), 20
 BUCKETS = 1 << BITS
 TRAIN_DOCS, FEATURES, PENALTY, STEPS = 8000, 4096, 3.0, 8
-FIT_TASKS = 8
+#: What the mean log-count ratio of a text's other n-grams is multiplied by in the fit.
+MEAN_SCALE = 1.0
+FIT_TASKS, STRETCH = 8, 1 << 18
 THRESHOLD = 0.3
 
 
-def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: the text number and bucket of every n-gram of every whole text, repeats included."""
-    codes = [np.frombuffer(f" {(t or '').lower()} ".encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-    sizes = np.array([len(c) for c in codes])
-    flat, of = np.concatenate(codes) if codes else np.zeros(0, "<u4"), np.repeat(np.arange(len(codes)), sizes)
-    rolling = flat.copy()
+def grams(text: str) -> np.ndarray:
+    """The bucket of every n-gram of a text, repeats included."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    rolling, out = codes, [np.zeros(0, np.uint32)]
     for n in range(2, max(SIZES) + 1):
-        rolling = rolling[:-1] * np.uint32(0x01000193) ^ flat[n - 1 :]
-        if n in SIZES and len(rolling):
-            whole = of[: len(rolling)] == of[n - 1 :]
-            mixed = (rolling ^ (rolling >> np.uint32(15))) * np.uint32(0x9E3779B1 + 2 * n)
-            yield of[: len(rolling)][whole], (mixed >> np.uint32(32 - BITS))[whole]
-
-
-def parts(texts: list[str | None]) -> Iterator[list[int]]:
-    """Index ranges of texts with about a million characters each."""
-    at, size, out = 0, 0, []
-    for i, t in enumerate(texts):
-        out.append(i)
-        size += len(t or "")
-        if size > 1_000_000:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
+        rolling = rolling[:-1] * np.uint32(0x01000193) ^ codes[n - 1 :]
+        if n in SIZES:
+            out.append((rolling ^ (rolling >> np.uint32(15))) * np.uint32(0x9E3779B1 + 2 * n) >> np.uint32(32 - BITS))
+    return np.concatenate(out)
+
+
+class Buckets:
+    """The distinct buckets of whole texts, a stretch of ``STRETCH`` code points at a time."""
+
+    def __init__(self):
+        self.last = np.zeros(BUCKETS, np.int32)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        text = f" {(text or '').lower()} "
+        if len(text) <= STRETCH:
+            found = grams(text).astype(np.intp)
+            at = np.arange(len(found), dtype=np.int32)
+            self.last[found] = at  # one place for each distinct bucket, whatever stood there before
+            return found[self.last.take(found) == at]
+        seen = np.zeros(BUCKETS, bool)
+        for at in range(0, len(text), STRETCH):
+            seen[grams(text[at : at + STRETCH + max(SIZES) - 1])] = True
+        return np.flatnonzero(seen)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,7 +70,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """toxic, text of at most TRAIN_DOCS labelled documents, stored in FIT_TASKS parts."""
+    """toxic, text of at most TRAIN_DOCS labelled rows with a doc_id each, stored in FIT_TASKS parts."""
     chosen = (
         labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -71,21 +78,23 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     )
     own = docs.select(docs["doc_id"], docs["text"])
-    return cut(own.join(F.broadcast(chosen), own["doc_id"] == F.col("id")).select("toxic", "text").repartition(FIT_TASKS))
+    rows = own.join(F.broadcast(chosen), own["doc_id"] == F.col("id"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text")))
+    return cut(rows.withColumn("place", first).where("place = 1").select("toxic", "text").repartition(FIT_TASKS))
 
 
-def buckets(text: str | None) -> np.ndarray:
-    each = [b for _, b in grams([text])]
-    return np.unique(np.concatenate(each)) if each else np.zeros(0, np.int64)
+def mean(found: np.ndarray, shared: np.ndarray) -> float:
+    """The mean of ``shared`` over the distinct buckets of a text; 0 for a text without any."""
+    return float(shared[found].sum(dtype=np.float64) / max(1, len(found)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights of the buckets and the intercept. A first pass over the sample counts documents by bucket, a second one
-    brings the chosen features of each document: 2 x FIT_TASKS x BUCKETS and TRAIN_DOCS x FEATURES numbers at most."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of the buckets of their own, those on means, and the intercept. A first pass over the sample counts documents
+    by bucket, a second one brings the features of each document: 2 x FIT_TASKS x BUCKETS and TRAIN_DOCS x FEATURES numbers at most."""
     texts = sample(docs, labels)
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
-        found = np.zeros((2, BUCKETS), np.uint16)
+        found, buckets = np.zeros((2, BUCKETS), np.uint16), Buckets()
         for batch in batches:
             for toxic, text in zip(batch["toxic"], batch["text"]):
                 found[int(toxic > 0)][buckets(text)] += 1
@@ -97,44 +106,51 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         with_toxic += np.frombuffer(row["toxic"], np.uint16)
     sizes = {r["t"]: r["n"] for r in texts.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     kept = chosen_buckets(with_toxic, with_rest, sizes.get(True, 0), sizes.get(False, 0))
+    ratio = np.log((1 + with_toxic) / (1 + with_toxic).sum()) - np.log((1 + with_rest) / (1 + with_rest).sum())
+    shared = np.where(with_toxic + with_rest > 0, ratio, 0).astype(np.float32)
+    shared[kept] = 0
+    shipped = docs.sparkSession.sparkContext.broadcast((kept, shared))  # BUCKETS numbers
 
     def features(batches: Iterator[dict]) -> Iterator[dict]:
+        (kept, shared), buckets = shipped.value, Buckets()
         for batch in batches:
-            own = [np.flatnonzero(np.isin(kept, buckets(t), assume_unique=True)).astype("<u4").tobytes() for t in batch["text"]]
-            yield {"toxic": batch["toxic"], "own": own}
+            found = [np.sort(buckets(t)) for t in batch["text"]]
+            own = [np.flatnonzero(np.isin(kept, x, assume_unique=True)).astype("<u4").tobytes() for x in found]
+            yield {"toxic": batch["toxic"], "own": own, "mean": [mean(x, shared) for x in found]}
 
-    rows = map_batches(texts, features, "toxic int, own binary").toArrow().to_pydict()
+    rows = map_batches(texts, features, "toxic int, own binary, mean double").toArrow().to_pydict()
     own = [np.frombuffer(x, "<u4") for x in rows["own"]]
-    order = sorted(range(len(own)), key=lambda i: (rows["toxic"][i], own[i].tobytes()))  # sums don't depend on the order of rows
-    ratio = np.log((1 + with_toxic) / (1 + with_toxic).sum()) - np.log((1 + with_rest) / (1 + with_rest).sum())
-    few, b = fit_rows(np.array([rows["toxic"][i] > 0 for i in order], float), [own[i] for i in order], ratio[kept])
+    order = sorted(range(len(own)), key=lambda i: (rows["toxic"][i], own[i].tobytes(), rows["mean"][i]))  # sums don't depend on the order of rows
+    few, b = fit_rows(np.array([rows["toxic"][i] > 0 for i in order], float), [own[i] for i in order], ratio[kept], np.array([rows["mean"][i] for i in order]))
     weights = np.zeros(BUCKETS, np.float32)
-    weights[kept] = few
-    return weights, b
+    weights[kept] = few[:-1]
+    return weights, (few[-1] * shared).astype(np.float32), b
 
 
 def chosen_buckets(with_toxic: np.ndarray, with_rest: np.ndarray, toxic: int, rest: int) -> np.ndarray:
-    """The FEATURES buckets that tell most: the difference of their shares in the two kinds over its deviation."""
+    """The FEATURES buckets with a weight of their own, which tell most: the difference of their shares in the two kinds over its deviation."""
     n = max(1, toxic + rest)
     share = (with_toxic + with_rest) / n
     told = np.abs(with_toxic / max(1, toxic) - with_rest / max(1, rest)) / np.sqrt(np.maximum(share * (1 - share), 1 / n))
     return np.sort(np.argsort(-told, kind="stable")[:FEATURES])
 
 
-def fit_rows(y: np.ndarray, own: list[np.ndarray], value: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression. y: 0 or 1 for each text; own: its features; value: the log-count ratio of each feature."""
+def fit_rows(y: np.ndarray, own: list[np.ndarray], value: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression. y: 0 or 1 for each text; own: its features; value: the log-count ratio of each feature;
+    mean: one number more for each text. The last weight is that of ``mean``."""
     prior = (y.sum() + 1) / (len(y) + 2)
     if not 0 < y.sum() < len(y):
-        return np.zeros(len(value)), float(np.log(prior / (1 - prior)))
+        return np.zeros(len(value) + 1), float(np.log(prior / (1 - prior)))
+    value = np.append(value, MEAN_SCALE)
     doc, col = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
-    total = lambda w: np.bincount(doc, weights=(w * value)[col], minlength=len(y))
+    total = lambda w: np.bincount(doc, weights=(w * value)[col], minlength=len(y)) + w[-1] * value[-1] * mean
     chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     # conjugate gradients within Newton steps on the sum of log losses and PENALTY / 2 times the squared weights
     w, b = np.zeros(len(value)), float(np.log(prior / (1 - prior)))
     for _ in range(STEPS):
         pr = chance(total(w) + b)
         curve = np.maximum(pr * (1 - pr), 1e-6)
-        back = lambda e: np.append(np.bincount(col, weights=e[doc], minlength=len(value)) * value, e.sum())
+        back = lambda e: np.concatenate((np.bincount(col, weights=e[doc], minlength=len(value) - 1) * value[:-1], [value[-1] * (mean @ e), e.sum()]))
         grad = -back(pr - y) - np.append(PENALTY * w, 0)
         step, rest = np.zeros(len(value) + 1), grad.copy()
         way, norm = rest.copy(), rest @ rest
@@ -152,20 +168,17 @@ def fit_rows(y: np.ndarray, own: list[np.ndarray], value: np.ndarray) -> tuple[n
     return w * value, float(b)
 
 
-def probabilities(texts: list[str | None], weights: np.ndarray, b: float) -> np.ndarray:
+def probabilities(texts: list[str | None], weights: np.ndarray, shared: np.ndarray, b: float) -> np.ndarray:
     """The score of each text: every n-gram of the whole text counts once."""
-    active, scores = weights != 0, np.full(len(texts), b)
-    for part in parts(texts):
-        pairs = []
-        for text, bucket in grams([texts[i] for i in part]):
-            hit = active[bucket]
-            pairs.append(text[hit].astype(np.int64) << BITS | bucket[hit])
-        once = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        scores[part] += np.bincount(once >> BITS, weights=weights[once & BUCKETS - 1], minlength=len(part))
+    buckets, scores, pairs = Buckets(), np.full(len(texts), b), weights + 1j * shared  # both weights of a bucket at once
+    for i, text in enumerate(texts):
+        found = buckets(text)
+        total = pairs.take(found).sum(dtype=np.complex128)
+        scores[i] += total.real + total.imag / max(1, len(found))
     return 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of ``docs``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
