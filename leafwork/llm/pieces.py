@@ -5,13 +5,14 @@ does inside a stretch doesn't depend on what lies outside as long as no merge cr
 path in the max-plus semiring whose weights are 0 for neighbours that agree with BPE and minus infinity for others, and
 there is one such path. A boundary state of a cut is the piece that reaches or crosses it. A chunk of a giant document
 gives the transfer matrix from the states at its left cut to those at its right cut; matrices are combined associatively
-(a chunk with a word break has rank one), which fixes the states at all cuts, and each chunk is then backtraced alone.
+(a chunk with a word break has rank one) in a tree of at most ``FAN`` at a time, up to the document's own matrix and down
+again to the states at all cuts, and each chunk is then backtraced alone.
 
 Documents up to ``CHUNK`` characters are one chunk and are not shuffled. Longer ones are dealt out chunk by chunk.
 
 Defined cases: a null text counts as empty and has no pieces; characters outside the vocabulary become bytes; repeated rows
 are encoded each; a null doc_id is kept; an empty table gives an empty result; decoding gives the text back, whatever it holds,
-but for U+2581, which stands for a blank.
+but for U+2581, which stands for a blank; bytes of other ids that are no UTF-8 become U+FFFD.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from leafwork.llm.common import cut, map_batches
 
-CHUNK, WORDS, PAIRS = 32_768, 400_000, 400_000
+CHUNK, WORDS, PAIRS, FAN = 32_768, 400_000, 400_000, 256
 BLANK = "▁"
 Span = tuple[int, int]  # a piece by its place: first character, end
 
@@ -231,7 +232,7 @@ class Pieces:
             self.raw = [n.replace(BLANK, " ").encode() for n in self.names]
             for value, number in self.bytes.items():
                 self.raw[number] = bytes([value])
-        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if head and text[:1] == " " else text
 
 
@@ -254,33 +255,52 @@ def combine(left: dict, right: dict) -> dict:
     return out
 
 
-def boundary_states(matrices: list[dict]) -> list[Span]:
-    """The state at each cut, from the start of a document to its end, that lies on the one path."""
+def boundary_states(matrices: list[dict], entry: Span, leave: Span) -> list[Span]:
+    """The state at each cut, from ``entry`` before the first matrix to ``leave`` behind the last, that lies on the one path."""
     n = len(matrices)
-    if n == 1:
-        (entry, leaves), = matrices[0].items()
-        return [entry, leaves[0]]
-    half = n // 2
-    whole = [reduce(combine, matrices[:half]), reduce(combine, matrices[half:])]
-
-    def settle(part: list[dict], entry: Span, leave: Span) -> list[Span]:
-        if len(part) == 1:
-            return [entry, leave]
-        mid = len(part) // 2
-        left, right = reduce(combine, part[:mid]), reduce(combine, part[mid:])
-        at = next(m for m in left[entry] if leave in right.get(m, ()))
-        return settle(part[:mid], entry, at)[:-1] + settle(part[mid:], at, leave)
-
-    (entry,) = matrices[0]
-    leave = combine(*whole)[entry][0]
-    return settle(matrices, entry, leave)
-
-
-def encode(docs: DataFrame, model_file: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    ahead = [matrices[-1]]  # products of all matrices from a place to the end
+    for m in matrices[-2:0:-1]:
+        ahead.append(combine(m, ahead[-1]))
+    states = [entry]
+    for i in range(n - 1):
+        rest = ahead[n - 2 - i]
+        states.append(next(m for m in matrices[i][states[-1]] if leave in rest.get(m, ())))
+    return [*states, leave]
+
+
+def _states(matrices: DataFrame, fan: int) -> DataFrame:
+    """(row, chunk, matrix) to (row, chunk, n_chunks, states): the states before and behind each chunk. No group has more than ``fan`` rows."""
+    whole = F.floor(F.col("chunk") / fan).cast("int").alias("part")
+
+    def product(group: pd.DataFrame) -> pd.DataFrame:
+        found = reduce(combine, map(_read, group.sort_values("chunk")["matrix"]))
+        return pd.DataFrame({"row": group["row"].iloc[:1], "chunk": group["chunk"].iloc[0] // fan, "matrix": repr(found)})
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        found = [_read(m) for m in group["matrix"]]
+        if "states" in group:
+            a, b, c, d = group["states"].iloc[0]
+            entry, leave = (a, b), (c, d)
+        else:  # a document as a whole has one entry and one exit
+            ((entry, (leave, *_)),) = reduce(combine, found).items()
+        at = boundary_states(found, entry, leave)
+        return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "states": [[*a, *b] for a, b in zip(at, at[1:])]})
+
+    out = "row long, chunk int, states array<int>"
+    if not matrices.where(F.col("chunk") >= fan).take(1):
+        return matrices.groupBy("row").applyInPandas(settle, out)
+    above = cut(matrices.groupBy("row", whole).applyInPandas(product, "row long, chunk int, matrix string"))
+    outer = _states(above, fan).select(F.col("row").alias("of"), F.col("chunk").alias("part"), "states")
+    inner = matrices.withColumn("at", whole).join(outer, (F.col("row") == F.col("of")) & (F.col("at") == F.col("part"))).select("row", "part", "chunk", "matrix", "states")
+    return inner.groupBy("row", "part").applyInPandas(settle, out)
+
+
+def encode(docs: DataFrame, model_file: str | None = None, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """doc_id, chunk, n_chunks, ids (bytes of unsigned 16-bit numbers): a row for each chunk, one for most documents."""
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
-    longest = 16 if model_file is None else pieces(model_file).longest
+    longest = pieces(model_file).longest
 
     def whole(batches: Iterator[dict]) -> Iterator[dict]:
         model = pieces(model_file)
@@ -296,12 +316,12 @@ def encode(docs: DataFrame, model_file: str | None = None, chunk: int = CHUNK) -
     giant = (
         rows.where(F.char_length("text") > chunk)
         .select("doc_id", F.monotonically_increasing_id().alias("row"), shown.alias("t"))
-        .withColumn("n", F.char_length("t"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))))
+        .withColumn("n_chunks", (F.floor((F.char_length("t") - 1) / chunk) + 1).cast("int"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
         .withColumn("lo", F.least(F.col("chunk") * chunk, F.lit(longest)))
         .withColumn("t", F.substring("t", F.col("chunk") * chunk - F.col("lo") + 1, F.col("lo") + F.lit(chunk + longest)))
         .withColumn("hi", F.least(F.col("lo") + chunk, F.char_length("t")))
-        .select("doc_id", "row", "chunk", "lo", "hi", "t")
+        .select("doc_id", "row", "chunk", "n_chunks", "lo", "hi", "t")
     )
     giant = cut(giant.repartition(F.col("row"), F.col("chunk")))
 
@@ -311,12 +331,7 @@ def encode(docs: DataFrame, model_file: str | None = None, chunk: int = CHUNK) -
             found = [model.transfer(t, lo, hi) for t, lo, hi in zip(batch["t"], batch["lo"], batch["hi"])]
             yield {"row": batch["row"], "chunk": batch["chunk"], "matrix": [repr(m) for m in found]}
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        at = boundary_states([_read(m) for m in group["matrix"]])
-        return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "n_chunks": len(group), "states": [[*a, *b] for a, b in zip(at, at[1:])]})
-
-    states = map_batches(giant, matrices, "row long, chunk int, matrix string").groupBy("row").applyInPandas(settle, "row long, chunk int, n_chunks int, states array<int>")
+    states = _states(cut(map_batches(giant, matrices, "row long, chunk int, matrix string")), fan)
 
     def traced(batches: Iterator[dict]) -> Iterator[dict]:
         model = pieces(model_file)
