@@ -74,16 +74,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with three edits: words inserted at a third, twelve characters replaced at half, the last five deleted."""
-    from leafwork.llm.edits import count_edited
+    """The stored trees of all documents with three edits: words inserted at a third, twelve characters replaced at half, the last five deleted."""
+    from leafwork.llm.edits import edit_trees, store_trees
 
-    docs, n = table(spark, sf_dir, "documents"), F.coalesce(F.char_length("text"), F.lit(0))
+    trees, n = store_trees(table(spark, sf_dir, "documents")), F.char_length("text")
     third, half = F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int")
     first, second = " two new words", "other words "
     end = F.greatest(n + len(first) + len(second) - F.least(F.lit(12), n + len(first) - half) - 5, F.lit(0))
     edit = lambda a, b, new: F.struct(a.alias("start"), b.alias("stop"), F.lit(new).alias("replacement"))
     edits = F.array(edit(third, third, first), edit(half, half + 12, second), edit(end, end + 5, ""))
-    return count_edited(docs.withColumn("edits", edits))
+    return edit_trees(trees.withColumn("edits", edits), keep_trees=False)
 
 
 QUERIES = {

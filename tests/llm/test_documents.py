@@ -1,8 +1,10 @@
 """Operators over documents against plain Python, with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import math
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -17,9 +19,13 @@ ROWS = [
 ]
 
 
+#: Columns of the caller with names that operators use themselves.
+CLASHES = [f"'own {c}' AS {c}" for c in ("digest", "keep_id", "source", "row", "id", "node", "place", "heavy", "winner", "copies", "spans", "marks", "New", "email", "Base", "candidates", "component", "__digest", "edits", "lengths")]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "'c' AS digest", "1 AS keep_id", "'s' AS source", "'x' AS __row2").repartition(3)
+    return spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", *CLASHES).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +37,11 @@ def _norm(t):
     return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
 
+def _untouched(df):
+    """Whether the caller's own columns came back as they were."""
+    return all(r[c] == f"own {c}" for r in df.collect() for c in df.columns[2:])
+
+
 def test_exact_groups(docs, empty):
     from leafwork.llm.exact_dedup import drop_exact_copies, exact_groups
 
@@ -43,7 +54,7 @@ def test_exact_groups(docs, empty):
         assert r.text_sha256 == hashlib.sha256(_norm(text).encode()).hexdigest()
     assert sum(r.kept for r in got) == len({_norm(t) for _, t in ROWS})
     left = drop_exact_copies(docs)
-    assert left.columns == docs.columns
+    assert left.columns == docs.columns and _untouched(left)
     assert sorted(_norm(r.text) for r in left.collect()) == sorted({_norm(t) for _, t in ROWS})
     assert exact_groups(empty).count() == 0 and drop_exact_copies(empty).count() == 0
 
@@ -71,6 +82,7 @@ def _components(fps, links):
 
 
 def test_near_groups(docs, empty):
+    from leafwork.llm import near_copies
     from leafwork.llm.simhash import drop_near_copies, near_groups
 
     got = near_groups(docs).collect()
@@ -81,7 +93,8 @@ def test_near_groups(docs, empty):
     for r, p in zip(got, part):
         assert r.component_id == min((g.doc_id for g, q in zip(got, part) if q == p and g.doc_id is not None), default=None)
     assert near_groups(empty).count() == 0
-    assert drop_near_copies(docs).columns == docs.columns
+    for left in (drop_near_copies(docs), near_copies.drop_near_copies(docs)):
+        assert left.columns == docs.columns and _untouched(left)
 
 
 def test_covering_finds_planted_links(spark):
@@ -145,22 +158,29 @@ def test_pii(spark, docs, empty):
     assert "phone_local:5:17" in spans[106] and "national_id:25:36" in spans[106] and spans[107] == ""
     new = {r.doc_id: r.text for r in redact(more).collect()}
     assert new[106] == "call [PHONE_LOCAL] or ssn [NATIONAL_ID]" and new[107] == odd[7] and new[100] == odd[0]
-    assert redact(docs).columns == docs.columns
+    assert redact(docs).columns == docs.columns and _untouched(redact(docs))
+    long = "x" * 80 + " at acme dot org"
+    spelled = report(spark.createDataFrame([(1, "contact " + long)], "doc_id long, text string")).first().spans
+    assert spelled == f"email_spelled:8:{8 + len(long)}"
     assert fit(spark) == fit(spark) and report(empty).count() == 0
 
 
 def test_ids_equal_the_library():
+    """Authored texts, special strings and both whole tables of texts, against the library loaded as its README shows."""
+    import duckdb
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     from leafwork.llm.tokens import byte_words, ended_words
 
-    texts = [t or "" for _, t in ROWS] + ["a   b \n c", "  x \n\n y  ", "İ ŉ ς ΑΣ don't WE'LL ½", "\x1c a\x1d", "  x　y", "<|endoftext|> a"]
+    texts = [t or "" for _, t in ROWS] + ["a   b \n c", "  x \n\n y  ", "İ ŉ ς ΑΣ don't WE'LL ½", "\x1c a\x1d", "  x　y", "<|endoftext|> a", "a<|startoftext|>b <|endoftext|>", "w" * 900]
+    for name, column in (("documents", "text"), ("pages", "html")):
+        texts += [t or "" for (t,) in duckdb.sql(f"SELECT {column} FROM '/root/testdata/sf0.01/{name}.parquet'").fetchall()]
     for file, encode in (("byte_bpe_50k.json", byte_words()), ("word_bpe_49k.json", ended_words())):
         library = Tokenizer.from_file(P.path(file))
         library.encode_special_tokens = True
-        for t in texts:
-            assert encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, (file, t[:50])
+        for t, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+            assert encode(t).tolist() == want.ids, (file, t[:50])
 
 
 def test_packing(docs, empty):
@@ -244,13 +264,20 @@ def test_pieces(docs, empty):
             own = sorted(k for d, k in ids if d == i)
             assert np.frombuffer(b"".join(ids[i, k] for k in own), "<u2").tolist() == library.encode(t or "")
             assert "".join(back[i, k] for k in own) == (t or "")
+    tree = {(r.doc_id, r.chunk): r.ids for r in encode(docs, chunk=700, fan=3).collect()}  # several levels of products
+    for i, t in ROWS:
+        own = sorted(k for d, k in tree if d == i)
+        assert np.frombuffer(b"".join(tree[i, k] for k in own), "<u2").tolist() == library.encode(t or "")
     shown = BLANK + "aaa bbbccc   ddd".replace(" ", BLANK)
     m = [model.transfer(shown[max(0, k - 16) : k + 3 + 16], min(k, 16), min(k, 16) + min(3, len(shown) - k)) for k in range(0, len(shown), 3)]
-    assert combine(combine(m[0], m[1]), m[2]) == combine(m[0], combine(m[1], m[2])) and len(boundary_states(m)) == len(m) + 1
+    assert combine(combine(m[0], m[1]), m[2]) == combine(m[0], combine(m[1], m[2]))
+    ((entry, (leave,)),) = reduce(combine, m).items()
+    assert len(boundary_states(m, entry, leave)) == len(m) + 1
+    assert model.decode(np.array([model.bytes[0xFF], model.bytes[0xC3]])) == "\ufffd\ufffd"
 
 
 def test_counts_follow_edits(spark, docs, empty):
-    from leafwork.llm.edits import CountedText, attach_edits, count_edited
+    from leafwork.llm.edits import CountedText, attach_edits, count_trees, edit_trees, store_trees
     from leafwork.llm.tokens import byte_words
 
     words, rng = byte_words(), np.random.default_rng(2)
@@ -265,12 +292,48 @@ def test_counts_follow_edits(spark, docs, empty):
             counted.edit(a, b, new)
             text = text[:a] + new + text[b:]
             assert counted.text() == text and counted.total == len(words.encoding.encode_ordinary(text))
+            if rng.random() < 0.3:  # stored and taken up again
+                counted = CountedText(text, words, counted.stored())
     edits = spark.createDataFrame([(6, 2, 0, 0, "x "), (6, 1, 10, 5000, None), (3, 1, 0, 9, "new"), (99, 1, 0, 0, "lost")], "doc_id long, seq int, start int, stop int, replacement string")
-    got = {r.doc_id: r for r in count_edited(attach_edits(docs, edits)).collect()}
+    trees = store_trees(docs)
+    got = {r.doc_id: r for r in edit_trees(attach_edits(trees, edits)).collect()}
     after = "x " + LONG[:10] + LONG[5000:]
     assert got[6].tokens_after == len(words.encoding.encode_ordinary(after)) and got[6].chars_after == len(after) and got[6].chars_encoded_again < 600
-    assert got[3].tokens_after == len(words.encoding.encode_ordinary("new")) and got[13].tokens_before == got[13].tokens_after
-    assert count_edited(attach_edits(empty, edits)).count() == 0
+    assert got[6].text == after and got[3].tokens_after == len(words.encoding.encode_ordinary("new")) and got[13].tokens_before == got[13].tokens_after
+    again = spark.createDataFrame([(6, 1, 0, 2, None)], "doc_id long, seq int, start int, stop int, replacement string")
+    twice = edit_trees(attach_edits(edit_trees(attach_edits(trees, edits)), again), keep_trees=False).where("doc_id = 6").first()
+    assert (twice.tokens_before, twice.tokens_after) == (got[6].tokens_after, len(words.encoding.encode_ordinary(after[2:]))) and twice.chars_encoded_again < 100
+    assert attach_edits(docs, edits).columns == [*(c for c in docs.columns if c != "edits"), "edits"]
+    assert edit_trees(attach_edits(count_trees(empty), edits)).count() == 0
+
+
+def test_registered_edits(spark, docs, tmp_path):
+    """The registered query against whole encodings of the edited texts."""
+    from leafwork.llm.queries import op10_token_counts
+    from leafwork.llm.tokens import byte_words
+
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    count = lambda t: len(byte_words().encoding.encode_ordinary(t))
+    want = []
+    for i, t in ROWS:
+        new, n = t or "", len(t or "")
+        new = new[: n // 3] + " two new words" + new[n // 3 :]
+        new = new[: n // 2] + "other words " + new[n // 2 + 12 :]
+        want.append((i, count(t or ""), count(new[: max(0, len(new) - 5)])))
+    got = [(r.doc_id, r.tokens_before, r.tokens_after) for r in op10_token_counts(spark, f"file://{tmp_path}").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def _buckets(text, X):
+    """The buckets of a text, n-gram by n-gram."""
+    out, text = set(), f" {text.lower()} "
+    for n in X.SIZES:
+        for i in range(len(text) - n + 1):
+            h = ord(text[i])
+            for c in text[i + 1 : i + n]:
+                h = h * 0x01000193 % 2**32 ^ ord(c)
+            out.add((h ^ h >> 15) * (0x9E3779B1 + 2 * n) % 2**32 >> 32 - X.BITS)
+    return out
 
 
 def test_toxicity(spark, empty):
@@ -296,5 +359,18 @@ def test_toxicity(spark, empty):
     assert got[None].score == got[5000].score
     kept = X.drop_toxic(docs.selectExpr("*", "1 AS score"), labels)
     assert kept.columns == ["doc_id", "text", "score"] and kept.count() == sum(r.predicted == 0 for r in got.values())
+    weights, shared, b = model
+    for i in held[:20]:  # a plain model over the same weights
+        found = _buckets(dict((i, t) for i, t, _ in rows)[i], X)
+        z = b + sum(weights[k] for k in found) + sum(shared[k] for k in found) / len(found)
+        assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-5
+    assert (weights != 0).sum() <= X.FEATURES and (shared != 0).sum() > 1000
+    parts, X.STRETCH = X.STRETCH, 50
+    try:
+        assert set(X.Buckets()(rows[0][1]).tolist()) == _buckets(rows[0][1], X)
+    finally:
+        X.STRETCH = parts
+    again = X.sample(docs.unionByName(docs).unionByName(docs), labels)
+    assert again.count() == X.sample(docs, labels).count() == 900 - len(held)
     none = X.fit(docs, labels.where("false"))
     assert {round(r.score, 6) for r in X.score(docs, none).collect()} == {0.5} and X.score(empty, model).count() == 0
