@@ -53,11 +53,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings made from every embedding; those whose id is divisible by 100 are looked up among all."""
-    from leafwork.llm.fingerprints import align, recordings
+    """Recordings made from every embedding; those whose id is divisible by 100 are looked up among all. One row per recording:
+    its class of equal fingerprints, the number of asked classes it aligns with, and the best of these alignments."""
+    from leafwork.llm.fingerprints import recordings, search
 
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return align(recordings(vectors), lambda i: i % 100 == 0)
+    return search(recordings(vectors), lambda i: i % 100 == 0)[1]
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,7 @@
 
 import gzip
 import hashlib
-import io
-import wave
+import struct
 
 import numpy as np
 
@@ -15,25 +14,74 @@ def test_fingerprints_align(spark):
     tunes = [C.melody(rng.normal(0, 0.3, 64)) for _ in range(4)]
     noisy = tunes[0] + 0.1 * rng.standard_normal(len(tunes[0])).astype(np.float32)
     later = tunes[1][7 * C.HOP :]
-    media = [(0, tunes[0]), (100, later), (1, tunes[0]), (2, noisy), (3, tunes[1]), (4, tunes[2]), (200, tunes[3]), (300, []), (5, None)]
+    media = [(0, tunes[0]), (100, later), (1, tunes[0]), (2, noisy), (3, tunes[1]), (4, tunes[2]), (200, tunes[3]), (6, tunes[3] + 0.05 * rng.standard_normal(len(tunes[3])).astype(np.float32)), (300, []), (5, None)]
     rows = spark.createDataFrame([(i, None if s is None else [float(x) for x in s]) for i, s in media], "id long, samples array<float>")
-    got = {(r.query_id, r.match_id): r for r in C.align(C.fingerprints(rows), lambda i: i % 100 == 0).collect()}
-    assert set(got) == {(0, 0), (0, 2), (100, 100), (100, 3), (200, 200)}
-    assert got[0, 0].class_size == 2 and got[0, 2].offset == 0 and got[0, 2].bit_error < 0.05
-    assert got[100, 3].offset == 7 and got[100, 3].bit_error == 0
-    marks = {i: C.fingerprint(np.asarray(s if s is not None else [])) for i, s in media}
-    for (q, m), r in got.items():  # against sliding one over the other
-        a, b = marks[q], marks[m]
-        best = max(range(-len(a) + 1, len(b)), key=lambda o: (sum(a[i] == b[i + o] for i in range(len(a)) if 0 <= i + o < len(b)), -o))
-        assert best == r.offset
-    assert C.align(C.fingerprints(rows.where("false")), lambda i: i % 100 == 0).count() == 0
-    file = io.BytesIO()
-    with wave.open(file, "wb") as f:
-        f.setnchannels(1), f.setsampwidth(2), f.setframerate(C.RATE)
-        f.writeframes((tunes[0] * 20_000).astype("<i2").tobytes())
-    files = spark.createDataFrame([(1, bytearray(file.getvalue())), (2, bytearray(b"no")), (3, None)], "id long, content binary")
-    found = {r.id: np.array(r.marks, np.int64).astype(np.uint32) for r in C.wav_fingerprints(files).collect()}
-    assert np.bitwise_count(found[1] ^ marks[0]).sum() / 32 / len(marks[0]) < 0.05 and len(found[2]) == len(found[3]) == 0
+    pairs, members = C.search(C.fingerprints(rows), lambda i: i % 100 == 0)
+    got, of = {(r.query_id, r.match_id): r for r in pairs.collect()}, {r.id: r for r in members.collect()}
+    assert set(got) == {(0, 2), (100, 3), (200, 6)} and set(of) == {i for i, _ in media}
+    assert got[0, 2].offset == 0 and got[0, 2].bit_error < 0.05 and got[100, 3].offset == 7 and got[100, 3].bit_error == 0
+    assert (of[1].class_id, of[1].class_size, of[2].n_links, of[2].best_query, of[0].n_links, of[300].class_id, of[5].n_links) == (0, 2, 1, 0, 0, None, 0)
+    empty, none = C.search(C.fingerprints(rows.where("false")), lambda i: i % 100 == 0)
+    assert empty.count() == none.count() == 0
+
+
+def test_alignments_against_all_pairs(spark):
+    """Recall against sliding every query over every recording at every offset, with blocks that are split."""
+    from leafwork.llm import fingerprints as C
+
+    rng = np.random.default_rng(3)
+    vectors = [rng.normal(0, 0.3, 64) for _ in range(60)]
+    vectors += [np.roll(v, int(rng.integers(-6, 7))) + rng.normal(0, rng.uniform(0, 0.05), 64) for v in vectors for _ in range(4)]
+    marks = [C.fingerprint(C.melody(v)) for v in vectors] + [np.zeros(3000, np.uint32), np.zeros(2990, np.uint32)]
+    rows = spark.createDataFrame([(i, m.view(np.int32).tolist()) for i, m in enumerate(marks)], "id long, marks array<int>")
+    few = [m.view(np.int32) for m in [*marks[:12], marks[-1][:200], marks[-1][:150]]]
+    whole = sorted(zip(*(x.tolist() for x in C._bars(few[::2], few))))
+    kept = C.QUERY_MARKS, C.RECORD_MARKS, C.ENTRIES
+    C.QUERY_MARKS, C.RECORD_MARKS, C.ENTRIES = 1000, 5000, 500
+    try:
+        assert sorted(zip(*(x.tolist() for x in C._bars(few[::2], few)))) == whole
+        found = {(r.query_id, r.match_id): r.bit_error for r in C.search(rows, lambda i: i % 10 == 0)[0].collect()}
+    finally:
+        C.QUERY_MARKS, C.RECORD_MARKS, C.ENTRIES = kept
+    want = {}
+    for q in range(0, len(marks), 10):
+        for m in range(len(marks)):
+            a, b = marks[q], marks[m]
+            if q == m or len(a) != 47 or len(b) != 47:
+                continue
+            errors = []
+            for o in range(-(len(a) - C.MIN_OVERLAP), len(b) - C.MIN_OVERLAP + 1):
+                x, y = a[max(0, -o) : len(b) - o], b[max(0, o) :]
+                n = min(len(x), len(y))
+                errors.append(int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n))
+            if min(errors) <= C.MAX_ERROR:
+                want[q, m] = min(errors)
+    assert len(want) > 30 and sum(k in found for k in want) >= 0.95 * len(want)
+    assert all(k in want for k in found if k[0] < 300 and k[1] < 300) and found[300, 301] == 0
+
+
+def test_wave_files(spark):
+    from leafwork.llm import fingerprints as C
+
+    tune = C.melody(np.random.default_rng(1).normal(0, 0.3, 64)) * 0.6
+    want = C.fingerprint(tune)
+
+    def file(data, code, bits, channels=1, extra=b""):
+        form = struct.pack("<HHIIHH", code, channels, C.RATE, C.RATE * channels * bits // 8, channels * bits // 8, bits) + extra
+        return b"RIFF" + struct.pack("<I", 20 + len(form) + len(data)) + b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(data)) + data
+
+    wide = (tune * 2**31).astype("<i4")
+    files = {
+        1: file((tune * 32_767).astype("<i2").tobytes(), 1, 16), 2: file((tune * 127 + 128).astype("u1").tobytes(), 1, 8), 3: file(wide.tobytes(), 1, 32),
+        4: file(wide.view(np.uint8).reshape(-1, 4)[:, 1:].tobytes(), 1, 24), 5: file(tune.astype("<f4").tobytes(), 3, 32),
+        6: file(np.repeat((tune * 32_767).astype("<i2"), 2).tobytes(), 1, 16, 2), 7: file((tune * 32_767).astype("<i2").tobytes(), 1, 16)[:-5001],
+        8: b"no", 9: None, 10: file(b"", 1, 16), 11: file(b"abc", 85, 16), 12: b"RIFF\0\0\0\0WAVEfmt ",
+    }
+    rows = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in files.items()], "id long, content binary")
+    got = {r.id: np.array(r.marks, np.int64).astype(np.uint32) for r in C.wav_fingerprints(rows).collect()}
+    for i in range(1, 7):
+        assert len(got[i]) == len(want) and np.bitwise_count(got[i] ^ want).sum() / 32 / len(want) < (0.2 if i == 2 else 0.05), i
+    assert 0 < len(got[7]) < len(want) and all(len(got[i]) == 0 for i in range(8, 13))
 
 
 def test_warc(spark, tmp_path):
