@@ -237,5 +237,5 @@ def edit_trees(trees: DataFrame, file: str | None = None, keep_trees: bool = Tru
 def store_trees(docs: DataFrame, folder: str | None = None, file: str | None = None) -> DataFrame:
     """``count_trees`` written as Parquet, by default into the shared folder, and read again."""
     folder = folder or f"{shared_dir(docs.sparkSession).rstrip('/')}/token-trees-{uuid.uuid4().hex}"
-    count_trees(docs, file).write.parquet(folder)
+    count_trees(docs, file).write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.parquet(folder)
