@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 # White space and marks that the document format defines.
 SPACES = "\t\n\x0b\x0c\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Names of shapes.
 SHAPES = (
-    "사각형 직사각형 정사각형 원 타원 삼각형 이등변_삼각형 직각_삼각형 선 직선 곡선 화살표 굵은_화살표 이중_화살표 오각형 육각형 팔각형 별 4점별 5점별 6점별 7점별 8점별 "
-    "십자 십자형 구름 구름형 마름모 도넛 평행사변형 사다리꼴 부채꼴 호 반원 물결 번개 하트 빗금 블록_화살표 수식 표 그림 개체 그리기_개체 그리기개체 묶음_개체 묶음개체 글상자 "
-    "수식_개체 수식개체 OLE_개체 OLE개체"
-).replace("_", "\x00")
+    "사각형|직사각형|정사각형|원|타원|삼각형|이등변 삼각형|직각 삼각형|선|직선|곡선|화살표|굵은 화살표|이중 화살표|오각형|육각형|팔각형|별|4점별|5점별|6점별|7점별|8점별|"
+    "십자|십자형|구름|구름형|마름모|도넛|평행사변형|사다리꼴|부채꼴|호|반원|물결|번개|하트|빗금|블록 화살표|수식|표|그림|개체|그리기 개체|그리기개체|묶음 개체|묶음개체|글상자|"
+    "수식 개체|수식개체|OLE 개체|OLE개체"
+)
+# Date units and the order of lettered items.
 DATE_UNITS = "년월일시분초"
 HANGUL_ORDER = "가나다라마바사아자차카타파하"
-#: Symbol characters of the private use area with a plain counterpart. Others can be given as a parameter.
+# Symbol characters of the private use area with a plain counterpart. Others can be given as a parameter.
 PUA = {
     0xF022: "✂", 0xF036: "⌛", 0xF045: "☜", 0xF046: "☞", 0xF047: "☝", 0xF048: "☟", 0xF04A: "☺", 0xF04E: "☠", 0xF052: "☼", 0xF054: "❄", 0xF058: "✠", 0xF059: "✡",
     0xF06C: "●", 0xF06D: "●", 0xF06E: "■", 0xF06F: "□", 0xF070: "□", 0xF071: "□", 0xF072: "□", 0xF073: "⬧", 0xF074: "⧫", 0xF075: "◆", 0xF076: "❖", 0xF077: "⬥",
@@ -66,7 +68,7 @@ def normalize_pua(c: Column, extra: dict[int, str] | None = None) -> Column:
 
 def is_shape_alt(line: Column) -> Column:
     """Whether a line is the generated description of a drawn shape."""
-    shapes = "|".join(s.replace("\x00", " ") for s in SHAPES.split(" "))
+    shapes = SHAPES
     return line.rlike(rf"(?U)^\s*(?:모서리가 둥근 |둥근 )?\s*(?:{shapes})\s*입니다\s*\.?\s*$")
 
 
@@ -192,6 +194,7 @@ def is_list_marker_sql(x: str) -> str:
     return f"regexp_matches({utrim_sql(x)}, '^{LIST_MARK}[\\s\\x{{0b}}\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]')"
 
 
+# Units of numbers.
 UNITS = "%|백만원|천원|㎡|㎢|시간|원|명|건|개|kg|km|일"
 
 
@@ -227,6 +230,7 @@ def cell_type_sql(x: str) -> str:
     return f"CASE WHEN {t} = '' THEN 'empty' WHEN {is_number_sql(t)} THEN 'number' WHEN {is_date_sql(t)} THEN 'date' WHEN length({t}) <= 12 THEN 'short' ELSE 'long' END"
 
 
+# Words of diagrams.
 DIAGRAMS = r"조직도|연락망|체계도|기구표|배치도|흐름도|추진\s*체계"
 
 
@@ -245,8 +249,9 @@ ENGLISH_LABELS = (
     "place purpose reason amount total sum qty quantity unit no id passport"
 ).split()
 STOPWORDS = "of the and or in".split()
+# Units of counts, ends of sentences.
 NUMBER_UNITS = "퍼센트 개월 주년 차례 원 명 건 개 회 부 매 장 점 호 번 년 월 일 시 분 초".split()
-SENTENCE_ENDS = "입니다 합니다 습니다 하세요 십시오 시오 바랍니다 바람 할_것 할것 하며 하고 한다 된다 됨 음 임".replace("_", "\x00").split()
+SENTENCE_ENDS = "입니다|합니다|습니다|하세요|십시오|시오|바랍니다|바람|할 것|할것|하며|하고|한다|된다|됨|음|임"
 
 
 def is_numeric_value(c: Column) -> Column:
@@ -256,7 +261,7 @@ def is_numeric_value(c: Column) -> Column:
 
 
 def has_sentence_ending(c: Column) -> Column:
-    return c.rlike(f"(?:{'|'.join(SENTENCE_ENDS)})$".replace("\x00", " "))
+    return c.rlike(f"(?:{SENTENCE_ENDS})$")
 
 
 def is_label_cell(text: Column) -> Column:

@@ -88,7 +88,7 @@ def classify_table_tree(documents: DataFrame) -> DataFrame:
 def sanitize(text: str) -> str:
     text = re.sub("[\U000f0000-\U000ffffd]", lambda m: T.PUA.get(ord(m[0]), T.SEAL if ord(m[0]) in T.SEALS else chr(0x2460 + T.CIRCLED.index(ord(m[0]))) if ord(m[0]) in T.CIRCLED else ""), text)
     text = re.sub("[\uf020-\uf0ff]", lambda m: T.PUA.get(ord(m[0]), m[0]), text)
-    shapes = "|".join(s.replace("\x00", " ") for s in T.SHAPES.split(" "))
+    shapes = T.SHAPES
     lines = [x for x in text.replace("\r\n", "\n").split("\n") if not re.fullmatch(rf"\s*(?:모서리가 둥근 |둥근 )?\s*(?:{shapes})\s*입니다\s*\.?\s*", x)]
     text = re.sub(" {2,}", " ", "\n".join(lines)).strip()
     words = text.split(" ")
