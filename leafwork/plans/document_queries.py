@@ -204,7 +204,36 @@ def classify_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("reasons", F.array_join("reasons", " "))
 
 
-@query()
+_SPANNED = f"""WITH {A.ORDER_CELLS_SQL}, o AS (SELECT *, max(r) OVER (PARTITION BY table_id) AS last FROM order_cells),
+        t AS (SELECT table_id, r, c, {T.cell_type_sql("text")} AS type, CASE WHEN r = 0 AND c = 0 THEN 2 ELSE 1 END AS w, CASE WHEN r = 1 AND c = 4 THEN last ELSE 1 END AS h
+            FROM o WHERE NOT (r = 0 AND c = 1) AND NOT (r > 1 AND c = 4)),
+        g AS (SELECT table_id, max(r + h) AS rows, max(c + w) AS cols, count(*) AS anchors, sum(CASE WHEN type <> 'empty' THEN w * h ELSE 0 END)::DOUBLE AS active, count_if(r > 0) AS body,
+            count_if(r > 0 AND (w > 1 OR h > 1)) AS merged, count_if((w = 1 AND h = 1) OR (r = 0 AND h = 1)) AS regular FROM t GROUP BY table_id),
+        ur AS (SELECT table_id, count(DISTINCT x) AS n FROM (SELECT table_id, unnest(range(r, r + h)) AS x FROM t WHERE type <> 'empty') GROUP BY table_id),
+        uc AS (SELECT table_id, count(DISTINCT x) AS n FROM (SELECT table_id, unnest(range(c, c + w)) AS x FROM t WHERE type <> 'empty') GROUP BY table_id),
+        n AS (SELECT table_id, r, count(*) AS n, string_agg(concat(c, ':', CASE WHEN type = 'long' THEN 'short' ELSE type END), '|' ORDER BY c) FILTER (type <> 'empty') AS sig FROM t GROUP BY ALL),
+        a AS (SELECT table_id, avg(n) AS mean, count(*) AS lines FROM n GROUP BY table_id),
+        d AS (SELECT n.table_id, avg(abs(n.n - a.mean)) AS spread FROM n JOIN a USING (table_id) GROUP BY ALL),
+        m AS (SELECT table_id, max(k) AS mode, sum(k) AS schemas FROM (SELECT table_id, sig, count(*) AS k FROM n WHERE r > 0 AND sig IS NOT NULL GROUP BY ALL) GROUP BY table_id),
+        k AS (SELECT table_id, c, max(x)::DOUBLE / sum(x) AS share FROM (SELECT table_id, c, type, count(*) AS x FROM t WHERE r > 0 AND w = 1 AND type <> 'empty' GROUP BY ALL) GROUP BY table_id, c HAVING sum(x) >= 2),
+        cc AS (SELECT table_id, list_reduce(list_prepend(0.0::DOUBLE, list(share ORDER BY c)), lambda x, y: x + y) / count(*) AS cc FROM k GROUP BY table_id),
+        j AS (SELECT table_id, rows * cols AS slots, anchors, active / (rows * cols) AS a, (rows - ur.n + cols - uc.n)::DOUBLE / (rows + cols) AS sp, regular::DOUBLE / anchors AS gr, coalesce(cc, 0.0::DOUBLE) AS cc,
+                least(merged::DOUBLE / body * 0.7::DOUBLE + least(CASE WHEN lines > 1 THEN spread / greatest(mean, 1.0) ELSE 0.0::DOUBLE END, 1.0) * 0.6::DOUBLE, 1.0) AS si,
+                CASE WHEN rows >= 3 AND schemas > 0 THEN mode::DOUBLE / schemas * CASE WHEN schemas < 2 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END ELSE 0.0::DOUBLE END AS rep
+            FROM g JOIN ur USING (table_id) JOIN uc USING (table_id) JOIN a USING (table_id) JOIN d USING (table_id) LEFT JOIN m USING (table_id) LEFT JOIN cc USING (table_id)),
+        s AS (SELECT *, greatest((0.6::DOUBLE - a) / 0.6::DOUBLE, 0.0) AS sparse,
+            least((0.35::DOUBLE * rep + 0.25::DOUBLE * gr + 0.2::DOUBLE * least(a / 0.7::DOUBLE, 1.0) + 0.2::DOUBLE * cc) * (1.0 - 0.6::DOUBLE * greatest(1.0 - a - 0.2::DOUBLE, 0.0) / 0.8::DOUBLE) * (1.0 - sp) * (1.0 - 0.5::DOUBLE * si), 1.0) AS sem FROM j),
+        q AS (SELECT *, least(0.6::DOUBLE * si + 0.4::DOUBLE * sp + 0.5::DOUBLE * sparse, 1.0) AS lay, slots <= 4 OR anchors <= 2 AS little FROM s),
+        z AS (SELECT *, CASE WHEN little THEN 'uncertain' WHEN sem >= 0.55 AND sem - lay >= 0.2::DOUBLE THEN 'semantic-table' WHEN lay >= 0.45 AND lay - sem >= 0.15::DOUBLE THEN 'non-tabular-layout' ELSE 'uncertain' END AS kind FROM q)
+        SELECT table_id, kind, {_R2.format(x="CASE WHEN little THEN 0.2::DOUBLE ELSE sem END")} AS semantic_score, {_R2.format(x="CASE WHEN little THEN 0.2::DOUBLE ELSE lay END")} AS non_tabular_score,
+            {_R2.format(x="CASE WHEN little THEN 0.0::DOUBLE ELSE least(abs(sem - lay), 1.0) END")} AS confidence,
+            CASE WHEN little THEN 'low-evidence' ELSE array_to_string(list_filter([CASE WHEN rep >= 0.6 THEN 'repeated-row-schema' END, CASE WHEN gr >= 0.9 THEN 'grid-regularity' END,
+                CASE WHEN a >= 0.7 THEN 'high-active-density' END, CASE WHEN cc >= 0.75 THEN 'column-type-consistency' END, CASE WHEN si >= 0.35 THEN 'span-irregularity' END, CASE WHEN sp >= 0.25 THEN 'spacer-bands' END,
+                CASE WHEN sparse >= 0.5 THEN 'extreme-sparsity' END, CASE WHEN kind = 'uncertain' AND greatest(sem, lay) < 0.35 THEN 'low-evidence' WHEN kind = 'uncertain' THEN 'ambiguous-scores' END], lambda x: x IS NOT NULL), ' ') END AS reasons
+        FROM z"""
+
+
+@query(_SPANNED)
 def classify_spanned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.classify(_spanned(A.order_cells(spark, sf_dir)))
     return rows.withColumn("reasons", F.array_join("reasons", " "))
