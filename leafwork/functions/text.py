@@ -84,8 +84,17 @@ def join_spaced_hangul(c: Column) -> Column:
     return F.when(c.contains(" ") & c.rlike("[\uac00-\ud7af\u3131-\u318e]") & spread, F.replace(c, F.lit(" "), F.lit(""))).otherwise(c)
 
 
+#: One line of printable ASCII with single blanks inside: text that ``sanitize`` leaves as it is; and what Markdown takes as it is, too.
+TIDY = r"^(?:[!-~]++(?: [!-~]++)*+)?+\z"
+INERT = TIDY.replace("[!-~]", r"[!-~&&[^#$*<\\_`|~]]")
+
+
 def sanitize(c: Column, extra_pua: dict[int, str] | None = None) -> Column:
     """Visible text: symbols mapped, shape descriptions dropped, blanks collapsed, ends trimmed, spaced syllables joined."""
+    return F.when(c.rlike(TIDY), c).otherwise(_sanitized(c, extra_pua))
+
+
+def _sanitized(c: Column, extra_pua: dict[int, str] | None) -> Column:
     c = F.regexp_replace(normalize_pua(c, extra_pua), "\r\n", "\n")
     kept = lambda x: F.array_join(F.filter(F.split(x, "\n"), lambda y: ~is_shape_alt(y)), "\n")
     c = let(c, lambda x: F.when(x.contains("입니다"), kept(x)).otherwise(x))
@@ -117,7 +126,8 @@ def escape_gfm(c: Column) -> Column:
         follow = let(kept, lambda k: F.transform(parts, lambda p, i: F.concat(part(p, i), F.coalesce(F.get(k, i), F.lit("")))))
         return F.array_join(follow, "")
 
-    return let(sanitize(c), lambda x: F.when(x.contains("$") | x.contains("\\|"), woven(x)).otherwise(_escape_part(x)))
+    escaped = let(sanitize(c), lambda x: F.when(x.contains("$") | x.contains("\\|"), woven(x)).otherwise(_escape_part(x)))
+    return F.when(c.rlike(INERT), c).otherwise(escaped)
 
 
 def escape_gfm_sql(x: str) -> str:
