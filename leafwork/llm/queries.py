@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwork.llm import queries_sql
 from leafwork.llm.common import table
 
 
@@ -87,12 +88,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_trees(trees.withColumn("edits", edits), keep_trees=False)
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafwork.llm.url_filter import report
+
+    return report(table(spark, sf_dir, "pages"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafwork.llm.merkle import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafwork.llm.turns import report
+
+    return report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_exact_dedup, op3_warc, op4_sentencepiece, op5_packing, op6_token_files, op7_chroma, op8_toxicity, op9_simhash, op10_token_counts)
-}
+    for f in (
+        op1_pii, op2_exact_dedup, op3_warc, op4_sentencepiece, op5_packing, op6_token_files, op7_chroma, op8_toxicity, op9_simhash, op10_token_counts, op11_url_filter,
+        op12_merkle, op13_turns,
+    )
+}
 
-SQL = {
+SQL = queries_sql.SQL | {
     "op2_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY n) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size,
