@@ -16,10 +16,13 @@ don't overlap; repeated rows are handled on their own; an empty table gives an e
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwork.functions.text import let
+
 #: The base kinds in their order, with patterns that can't backtrack into long runs (\G: right after the last match).
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -42,48 +45,56 @@ CONTEXT, BLOCK = 24, 256
 TRAIN_ROWS, ROUNDS, RATE, PRECISION = 8000, 24, 0.3, 0.99
 
 
+def running(xs: Column, zero: Column, kind: str, merge: Callable[[Column, Column], Column]) -> Column:
+    """What ``merge`` has made of the elements before each one, as an array of ``kind``: struct(x, before).
+
+    Elements are taken in blocks, so that many of them don't cost the square of their number; ``xs`` is computed once.
+    """
+
+    def over(all_of: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(all_of), F.lit(BLOCK)), lambda at: F.slice(all_of, at + 1, BLOCK))
+
+        def within(block: Column, acc: Column) -> Column:
+            start = F.struct(acc.alias("acc"), F.array().cast(f"array<{kind}>").alias("seen"))
+            step = lambda a, x: F.struct(merge(a["acc"], x).alias("acc"), F.concat(a["seen"], F.array(a["acc"])).alias("seen"))
+            return F.aggregate(block, start, step)
+
+        def step(a: Column, b: Column) -> Column:
+            return let(within(b, a["acc"]), lambda w: F.struct(w["acc"].alias("acc"), F.concat(a["seen"], F.array(w["seen"])).alias("seen")))
+
+        start = F.struct(zero.alias("acc"), F.array().cast(f"array<array<{kind}>>").alias("seen"))
+        return F.arrays_zip(all_of.alias("x"), F.flatten(F.aggregate(blocks, start, step)["seen"]).alias("before"))
+
+    return let(xs, over)
+
+
 def _spans(text: Column, kind: str) -> Column:
     """All matches as struct(start, rank, end, kind, hit, left, right), where left and right are the text around.
 
-    The gaps between matches give positions and context without another pass over the text. Lengths are summed within
-    blocks of matches, so that thousands of matches in a text don't cost the square of their number.
+    The gaps between matches give positions and context without another pass over the text. Every array is computed once and
+    handed on by name, so that the work is linear in the text and its matches.
     """
-    pattern = F.lit({**BASE, **MORE}[kind])
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, {**BASE, **MORE}[kind], -1)
-    parts = F.transform(hits, lambda h, i: F.struct(h.alias("hit"), F.get(gaps, i).alias("before"), F.get(gaps, i + 1).alias("after")))
-    blocks = F.transform(F.sequence(F.lit(0), F.size(parts), F.lit(BLOCK)), lambda at: F.slice(parts, at + 1, BLOCK))
-    size = lambda p: F.char_length(p["before"]) + F.char_length(p["hit"])
-
-    def within(block: Column, at: Column) -> Column:
-        return F.aggregate(
-            block,
-            F.struct(at.alias("at"), F.array().cast("array<int>").alias("ends")),
-            lambda a, p: F.struct((a["at"] + size(p)).alias("at"), F.concat(a["ends"], F.array(a["at"] + size(p))).alias("ends")),
-            lambda a: a["ends"],
-        )
-
-    ends = F.aggregate(
-        blocks,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("ends")),
-        lambda a, b: F.struct(
-            F.aggregate(b, a["at"], lambda n, p: n + size(p)).alias("at"), F.concat(a["ends"], F.array(within(b, a["at"]))).alias("ends")
-        ),
-        lambda a: F.flatten(a["ends"]),
+    pattern = {**BASE, **MORE}[kind]
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = let(
+        F.split(text, pattern, -1),
+        lambda gaps: F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(gaps) - 1).alias("left"), F.slice(gaps, F.lit(2), F.size(gaps) - 1).alias("right")),
     )
-    made = F.transform(
-        F.arrays_zip(parts.alias("p"), ends.alias("e")),
-        lambda z: F.struct(
-            (z["e"] - F.char_length(z["p"]["hit"])).alias("start"),
+    placed = running(parts, F.lit(0), "int", lambda at, p: at + F.char_length(p["left"]) + F.char_length(p["hit"]))
+
+    def span(z: Column) -> Column:
+        p, start = z["x"], z["before"] + F.char_length(z["x"]["left"])
+        return F.struct(
+            start.alias("start"),
             F.lit(KINDS.index(kind)).alias("rank"),
-            z["e"].alias("end"),
+            (start + F.char_length(p["hit"])).alias("end"),
             F.lit(kind).alias("kind"),
-            z["p"]["hit"].alias("hit"),
-            F.lower(F.right(z["p"]["before"], F.lit(CONTEXT))).alias("left"),
-            F.lower(F.left(z["p"]["after"], F.lit(CONTEXT))).alias("right"),
-        ),
-    )
-    return F.when(text.rlike(NEEDS[kind]), made).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hit:string,left:string,right:string>>"))
+            p["hit"].alias("hit"),
+            F.lower(F.right(p["left"], F.lit(CONTEXT))).alias("left"),
+            F.lower(F.left(p["right"], F.lit(CONTEXT))).alias("right"),
+        )
+
+    return F.when(text.rlike(NEEDS[kind]), F.transform(placed, span)).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hit:string,left:string,right:string>>"))
 
 
 def luhn(digits: Column) -> Column:
@@ -275,23 +286,22 @@ def redact(docs: DataFrame) -> DataFrame:
     Other columns stay, but ``n_chars``, where there is one, follows the new text. Texts without a span are left as they are.
     """
     found = find(docs)
-    merged = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))),
-    )
+    zone = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    # A span opens a mark unless it begins inside an earlier one; the text before it begins where all earlier ones have ended.
+    marks = F.filter(running(zone, F.lit(0), "int", lambda end, s: F.greatest(end, s["end"])), lambda z: z["x"]["start"] >= z["before"])
+    found = found.select("row", marks.alias("marks"), F.array_max(F.transform("spans", lambda s: s["end"])).alias("last"))
     marks, text = F.col("marks"), F.col("row.text")
-    before = lambda i: F.when(i == 0, 0).otherwise(F.get(marks, i - 1)["end"])
-    pieces = F.transform(marks, lambda m, i: F.concat(F.substring(text, before(i) + 1, m["start"] - before(i)), F.lit("["), F.upper(m["kind"]), F.lit("]")))
-    tail = F.expr("substring(row.text, element_at(marks, -1).end + 1)")
-    new = F.when(F.size(marks) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
-    out = found.select("row", merged.alias("marks")).select("row", "marks", new.alias("new"))
+    blocks = F.transform(F.sequence(F.lit(0), F.size(marks), F.lit(BLOCK)), lambda at: F.slice(marks, at + 1, BLOCK))
+
+    def written(block: Column) -> Column:
+        """A block of marks with the text before each, cut from the stretch of text that they share."""
+        begin, end = F.get(block, F.lit(0))["before"], F.element_at(block, -1)["x"]["start"]
+        one = lambda own, m: F.concat(F.substring(own, m["before"] - begin + 1, m["x"]["start"] - m["before"]), F.lit("["), F.upper(m["x"]["kind"]), F.lit("]"))
+        return let(F.substring(text, begin + 1, end - begin), lambda own: F.transform(block, lambda m: one(own, m)))
+
+    pieces = F.flatten(F.transform(F.filter(blocks, lambda b: F.size(b) > 0), written))
+    new = F.when(F.size(marks) > 0, F.concat(F.array_join(pieces, ""), F.expr("substring(row.text, last + 1)"))).otherwise(text)
+    out = found.select("row", "marks", new.alias("new"))
     size = F.when(F.size(marks) > 0, F.char_length("new").cast("long"))
     own = lambda c: F.col("row")[c]
     return out.select(*[F.col("new").alias(c) if c == "text" else F.coalesce(size, own(c)).alias(c) if c == "n_chars" else own(c).alias(c) for c in docs.columns])
