@@ -1,9 +1,10 @@
 """A Merkle manifest of a table: one leaf per row, a tree per group, a tree over the groups, and an inclusion proof per row.
 
 Leaves are numbered inside their group and cut into superblocks of ``fanout ** LEVELS``. One call of ``applyInPandas`` folds a
-superblock through that many levels and gives each member the siblings it met; the superblocks' roots are the leaves of the next
-turn, until each group has one node. The same reduction runs over the groups' roots. A proof is the concatenation of a row's lower
-and upper parts, so that no task ever holds more than one superblock, however large a group is.
+superblock through that many levels; the superblocks' roots are the leaves of the next turn, until each group has one node. The same
+reduction runs over the groups' roots. On the way back each superblock meets its root's proof and gives every member the siblings
+it met inside, followed by that proof. No task ever holds more than one superblock, however large a group is, and only the
+proofs of superblocks are stored.
 
 A digest is the lower-case hex SHA-256 of its inputs in a row, digests as hex text. While a level has several nodes, each run of
 ``fanout`` neighbours becomes the digest of the run; the last run may be shorter, even a single node.
@@ -18,8 +19,10 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leafwork.llm.common import cut
 from leafwork.llm.ordering import group_key, number
@@ -55,47 +58,60 @@ def fold_block(nodes: list[str], size: int, fanout: int, levels: int) -> tuple[s
     return nodes[0], steps
 
 
-def reduce_groups(nodes: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """(grp, index, size, node) to (grp, root) and (grp, index, proof), proof being the steps from the node up to the group's root."""
+def climb(nodes: DataFrame, fanout: int, levels: int) -> list[DataFrame]:
+    """(grp, index, size, node, ...) to the tables of the superblocks' roots, turn by turn: the first is ``nodes``, the last has one node
+    for each group. All have ``block``, the superblock a node is in."""
     width = fanout**levels
 
     def superblock(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("index")
-        root, steps = fold_block(block["node"].tolist(), int(block["size"].iloc[0]), fanout, levels)
-        proofs = [[{"left": a, "right": b} for a, b in s] for s in steps]
-        return pd.DataFrame({"grp": block["grp"], "block": block["block"], "index": block["index"], "size": block["size"], "root": root, "proof": proofs})
-
-    turns, now = [], nodes.select("grp", "index", "size", "node").withColumn("block", F.floor(F.col("index") / width))
-    while True:
-        turn = cut(now.groupBy("grp", "block").applyInPandas(superblock, f"grp string, block long, index long, size long, root string, proof array<{STEP}>"))
-        turns.append(turn)
-        now = turn.where(F.col("index") == F.col("block") * width).select(
-            "grp", F.col("block").alias("index"), F.ceil(F.col("size") / width).alias("size"), F.col("root").alias("node"), F.floor(F.col("block") / width).alias("block")
-        )
-        if not (now.agg(F.max("size")).first()[0] or 1) > 1:
-            break
-    upper = None
-    for turn in reversed(turns):
-        lower = turn.select("grp", "index", "proof", "block")
-        if upper is not None:
-            above = upper.select(F.col("grp").alias("of"), F.col("index").alias("at"), F.col("proof").alias("above"))
-            lower = lower.join(above, (F.col("grp") == F.col("of")) & (F.col("block") == F.col("at"))).withColumn("proof", F.concat("proof", "above"))
-        upper = lower.select("grp", "index", "proof")
-    return now.select("grp", F.col("node").alias("root")), upper
+        root, _ = fold_block(block["node"].tolist(), int(block["size"].iloc[0]), fanout, levels)
+        return pd.DataFrame({"grp": block["grp"].iloc[:1], "index": block["block"].iloc[:1], "size": -(-block["size"].iloc[:1] // width), "node": root})
+
+    placed = lambda df: df.withColumn("block", F.floor(F.col("index") / width))
+    turns = [placed(nodes)]
+    while (turns[-1].agg(F.max("size")).first()[0] or 1) > 1:
+        slim = turns[-1].select("grp", "index", "size", "node", "block")
+        turns.append(placed(cut(slim.groupBy("grp", "block").applyInPandas(superblock, "grp string, index long, size long, node string"))))
+    return turns
+
+
+def descend(turns: list[DataFrame], tops: DataFrame, fanout: int, levels: int) -> DataFrame:
+    """``climb``'s first table with the columns of ``tops`` (grp, index, proof, ...), where proof is lengthened by each node's own steps.
+    A superblock meets its root's row, so each proof is written whole where its lower part is made, and isn't shuffled."""
+    carried = [f for f in tops.schema if f.name not in ("grp", "index")]
+
+    def superblock(block: pa.Table, above: pa.Table) -> pa.Table:
+        block = block.sort_by("index")
+        _, steps = fold_block(block["node"].to_pylist(), block["size"][0].as_py(), fanout, levels)
+        upper = above.to_pylist()[0]
+        for f in carried:
+            own = [[{"left": a, "right": b} for a, b in s] + upper["proof"] for s in steps] if f.name == "proof" else [upper[f.name]] * block.num_rows
+            block = block.append_column(f.name, pa.array(own, above.schema.field(f.name).type))
+        return block
+
+    for turn in reversed(turns[:-1]):
+        schema = StructType([*turn.schema, *carried])
+        right = tops.select("grp", F.col("index").alias("block"), *(f.name for f in carried))
+        tops = turn.groupBy("grp", "block").cogroup(right.groupBy("grp", "block")).applyInArrow(superblock, schema)
+        if turn is not turns[0]:
+            tops = cut(tops.select("grp", "index", *(f.name for f in carried)))
+    if len(turns) == 1:  # groups of one node each
+        known = tops.drop("index").withColumnRenamed("grp", "of")
+        return turns[0].join(known, F.col("grp") == F.col("of")).drop("of")
+    return tops
 
 
 def manifest(leaves: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """(grp, id, leaf, ...) to the same rows with subroot, root and proof (steps from the leaf up to the root). ``grp`` is never null."""
-    rows = cut(number(leaves, "grp", ["id", "leaf"]))
-    subroots, lower = reduce_groups(rows.withColumnRenamed("leaf", "node"), fanout, levels)
-    tops = cut(number(subroots.select(F.lit("").alias("all"), F.col("grp").alias("member"), "root"), "all", ["member"]))
-    root, upper = reduce_groups(tops.select(F.col("all").alias("grp"), "index", "size", F.col("root").alias("node")), fanout, levels)
-    above = tops.join(upper.select(F.col("index").alias("at"), F.col("proof").alias("above")), F.col("index") == F.col("at"))
-    top = root.first()
-    above = cut(above.select(F.col("member").alias("of"), F.col("root").alias("subroot"), F.lit(top and top.root).cast("string").alias("root"), "above"))
-    found = lower.select(F.col("grp").alias("of_grp"), F.col("index").alias("of_index"), "proof")
-    full = rows.join(found, (F.col("grp") == F.col("of_grp")) & (F.col("index") == F.col("of_index"))).join(above, F.col("grp") == F.col("of"))
-    return full.withColumn("proof", F.concat("proof", "above")).drop("of_grp", "of_index", "of", "above")
+    rows = cut(number(leaves, "grp", ["id", "leaf"])).withColumn("node", F.col("leaf"))
+    turns = climb(rows, fanout, levels)
+    subroots = cut(number(turns[-1].select(F.lit("").alias("all"), F.col("grp").alias("member"), "node"), "all", ["member"]))
+    uppers = climb(subroots.select(F.col("all").alias("grp"), "index", "size", "node", "member"), fanout, levels)
+    top = uppers[-1].first()
+    start = uppers[-1].select("grp", "index", F.array().cast(f"array<{STEP}>").alias("proof"), F.lit(top and top.node).cast("string").alias("root"))
+    proven = descend(uppers, start, fanout, levels).select(F.col("member").alias("grp"), F.lit(0).cast("long").alias("index"), "proof", F.col("node").alias("subroot"), "root")
+    return descend(turns, cut(proven), fanout, levels).drop("node", "block")
 
 
 def fold(leaf: Column, proof: Column) -> Column:

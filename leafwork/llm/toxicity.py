@@ -2,9 +2,10 @@
 
 A text's features are the hashed character n-grams (3 to 7 code points, lower-cased) it holds, each counted once. Over the
 labelled rows r = log((1 + documents with the n-gram, toxic) / their sum) - the same for the rest. A logistic regression with
-a quadratic penalty is fitted on the features times r: the ``FEATURES`` buckets that tell most have a weight of their own,
-all others share one, on the mean of their r over a text, so that no n-gram of a text is left out of its score. A model is
-two numbers for each of ``BUCKETS`` hash buckets, whatever the corpus, and scoring reads each text once without a shuffle.
+a quadratic penalty is fitted on the features times r. Choosing features is part of the fit: the ``FEATURES`` buckets that tell
+the two kinds apart most surely get a weight, all others none. Fitted on all buckets the same sample ranks held-out rows
+worse (the README has figures): n-grams of one or two documents then outweigh the telling ones. A model is one number for each
+of ``BUCKETS`` hash buckets, whatever the corpus, and scoring reads each text once without a shuffle.
 
 The fit uses at most ``TRAIN_DOCS`` labelled rows, those with the smallest hash of doc_id: a bounded, documented sample.
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import cut, map_batches
@@ -28,8 +29,6 @@ from leafwork.llm.common import cut, map_batches
 SIZES, BITS = (3, 4, 5, 6, 7), 20
 BUCKETS = 1 << BITS
 TRAIN_DOCS, FEATURES, PENALTY, STEPS = 8000, 4096, 3.0, 8
-#: What the mean log-count ratio of a text's other n-grams is multiplied by in the fit.
-MEAN_SCALE = 1.0
 FIT_TASKS, STRETCH = 8, 1 << 18
 THRESHOLD = 0.3
 
@@ -79,18 +78,14 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     own = docs.select(docs["doc_id"], docs["text"])
     rows = own.join(F.broadcast(chosen), own["doc_id"] == F.col("id"))
-    first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text")))
-    return cut(rows.withColumn("place", first).where("place = 1").select("toxic", "text").repartition(FIT_TASKS))
+    # Rows that share a doc_id are combined where they are read, so that a hot one is never gathered.
+    first = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first"), F.max("toxic").alias("toxic"))
+    return cut(first.select("toxic", F.col("first.text").alias("text")).repartition(FIT_TASKS))
 
 
-def mean(found: np.ndarray, shared: np.ndarray) -> float:
-    """The mean of ``shared`` over the distinct buckets of a text; 0 for a text without any."""
-    return float(shared[found].sum(dtype=np.float64) / max(1, len(found)))
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of the buckets of their own, those on means, and the intercept. A first pass over the sample counts documents
-    by bucket, a second one brings the features of each document: 2 x FIT_TASKS x BUCKETS and TRAIN_DOCS x FEATURES numbers at most."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """The buckets' weights and the intercept. A first pass over the sample counts documents by bucket, a second one brings the
+    chosen features of each document: 2 x FIT_TASKS x BUCKETS and TRAIN_DOCS x FEATURES numbers at most."""
     texts = sample(docs, labels)
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
@@ -107,50 +102,44 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     sizes = {r["t"]: r["n"] for r in texts.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     kept = chosen_buckets(with_toxic, with_rest, sizes.get(True, 0), sizes.get(False, 0))
     ratio = np.log((1 + with_toxic) / (1 + with_toxic).sum()) - np.log((1 + with_rest) / (1 + with_rest).sum())
-    shared = np.where(with_toxic + with_rest > 0, ratio, 0).astype(np.float32)
-    shared[kept] = 0
-    shipped = docs.sparkSession.sparkContext.broadcast((kept, shared))  # BUCKETS numbers
 
     def features(batches: Iterator[dict]) -> Iterator[dict]:
-        (kept, shared), buckets = shipped.value, Buckets()
+        buckets = Buckets()
         for batch in batches:
-            found = [np.sort(buckets(t)) for t in batch["text"]]
-            own = [np.flatnonzero(np.isin(kept, x, assume_unique=True)).astype("<u4").tobytes() for x in found]
-            yield {"toxic": batch["toxic"], "own": own, "mean": [mean(x, shared) for x in found]}
+            own = [np.flatnonzero(np.isin(kept, buckets(t), assume_unique=True)).astype("<u4").tobytes() for t in batch["text"]]
+            yield {"toxic": batch["toxic"], "own": own}
 
-    rows = map_batches(texts, features, "toxic int, own binary, mean double").toArrow().to_pydict()
+    rows = map_batches(texts, features, "toxic int, own binary").toArrow().to_pydict()
     own = [np.frombuffer(x, "<u4") for x in rows["own"]]
-    order = sorted(range(len(own)), key=lambda i: (rows["toxic"][i], own[i].tobytes(), rows["mean"][i]))  # sums don't depend on the order of rows
-    few, b = fit_rows(np.array([rows["toxic"][i] > 0 for i in order], float), [own[i] for i in order], ratio[kept], np.array([rows["mean"][i] for i in order]))
+    order = sorted(range(len(own)), key=lambda i: (rows["toxic"][i], own[i].tobytes()))  # sums don't depend on the order of rows
+    few, b = fit_rows(np.array([rows["toxic"][i] > 0 for i in order], float), [own[i] for i in order], ratio[kept])
     weights = np.zeros(BUCKETS, np.float32)
-    weights[kept] = few[:-1]
-    return weights, (few[-1] * shared).astype(np.float32), b
+    weights[kept] = few
+    return weights, b
 
 
 def chosen_buckets(with_toxic: np.ndarray, with_rest: np.ndarray, toxic: int, rest: int) -> np.ndarray:
-    """The FEATURES buckets with a weight of their own, which tell most: the difference of their shares in the two kinds over its deviation."""
+    """The FEATURES buckets that get a weight, which tell most: the difference of their shares in the two kinds over its deviation."""
     n = max(1, toxic + rest)
     share = (with_toxic + with_rest) / n
     told = np.abs(with_toxic / max(1, toxic) - with_rest / max(1, rest)) / np.sqrt(np.maximum(share * (1 - share), 1 / n))
     return np.sort(np.argsort(-told, kind="stable")[:FEATURES])
 
 
-def fit_rows(y: np.ndarray, own: list[np.ndarray], value: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression. y: 0 or 1 for each text; own: its features; value: the log-count ratio of each feature;
-    mean: one number more for each text. The last weight is that of ``mean``."""
+def fit_rows(y: np.ndarray, own: list[np.ndarray], value: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression. y: 0 or 1 for each text; own: its features; value: the log-count ratio of each feature."""
     prior = (y.sum() + 1) / (len(y) + 2)
     if not 0 < y.sum() < len(y):
-        return np.zeros(len(value) + 1), float(np.log(prior / (1 - prior)))
-    value = np.append(value, MEAN_SCALE)
+        return np.zeros(len(value)), float(np.log(prior / (1 - prior)))
     doc, col = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
-    total = lambda w: np.bincount(doc, weights=(w * value)[col], minlength=len(y)) + w[-1] * value[-1] * mean
+    total = lambda w: np.bincount(doc, weights=(w * value)[col], minlength=len(y))
     chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     # conjugate gradients within Newton steps on the sum of log losses and PENALTY / 2 times the squared weights
     w, b = np.zeros(len(value)), float(np.log(prior / (1 - prior)))
     for _ in range(STEPS):
         pr = chance(total(w) + b)
         curve = np.maximum(pr * (1 - pr), 1e-6)
-        back = lambda e: np.concatenate((np.bincount(col, weights=e[doc], minlength=len(value) - 1) * value[:-1], [value[-1] * (mean @ e), e.sum()]))
+        back = lambda e: np.append(np.bincount(col, weights=e[doc], minlength=len(value)) * value, e.sum())
         grad = -back(pr - y) - np.append(PENALTY * w, 0)
         step, rest = np.zeros(len(value) + 1), grad.copy()
         way, norm = rest.copy(), rest @ rest
@@ -168,17 +157,15 @@ def fit_rows(y: np.ndarray, own: list[np.ndarray], value: np.ndarray, mean: np.n
     return w * value, float(b)
 
 
-def probabilities(texts: list[str | None], weights: np.ndarray, shared: np.ndarray, b: float) -> np.ndarray:
-    """The score of each text: every n-gram of the whole text counts once."""
-    buckets, scores, pairs = Buckets(), np.full(len(texts), b), weights + 1j * shared  # both weights of a bucket at once
+def probabilities(texts: list[str | None], weights: np.ndarray, b: float) -> np.ndarray:
+    """The score of each text from all distinct n-grams of the whole text."""
+    buckets, scores = Buckets(), np.full(len(texts), b)
     for i, text in enumerate(texts):
-        found = buckets(text)
-        total = pairs.take(found).sum(dtype=np.complex128)
-        scores[i] += total.real + total.imag / max(1, len(found))
+        scores[i] += weights.take(buckets(text)).sum(dtype=np.float64)
     return 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of ``docs``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 

@@ -359,12 +359,22 @@ def test_toxicity(spark, empty):
     assert got[None].score == got[5000].score
     kept = X.drop_toxic(docs.selectExpr("*", "1 AS score"), labels)
     assert kept.columns == ["doc_id", "text", "score"] and kept.count() == sum(r.predicted == 0 for r in got.values())
-    weights, shared, b = model
+    weights, b = model
     for i in held[:20]:  # a plain model over the same weights
         found = _buckets(dict((i, t) for i, t, _ in rows)[i], X)
-        z = b + sum(weights[k] for k in found) + sum(shared[k] for k in found) / len(found)
+        z = b + sum(weights[k] for k in found)
         assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-5
-    assert (weights != 0).sum() <= X.FEATURES and (shared != 0).sum() > 1000
+    assert 0 < (weights != 0).sum() <= X.FEATURES
+    # The fit against its definition: ratios from plain counts, and a penalised loss whose slope is zero in every weight.
+    train = [(_buckets(t, X), y) for i, t, y in rows if i not in held]
+    counts = [np.full(X.BUCKETS, 1.0), np.full(X.BUCKETS, 1.0)]
+    for found, y in train:
+        counts[y][list(found)] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    off = [(1 / (1 + math.exp(-(b + sum(float(weights[k]) for k in found)))) - y, found) for found, y in train]
+    assert abs(sum(e for e, _ in off)) < 0.05
+    for k in np.flatnonzero(weights)[:: max(1, int((weights != 0).sum()) // 40)]:
+        assert abs(sum(e for e, found in off if k in found) * ratio[k] + X.PENALTY * weights[k] / ratio[k]) < 0.05
     parts, X.STRETCH = X.STRETCH, 50
     try:
         assert set(X.Buckets()(rows[0][1]).tolist()) == _buckets(rows[0][1], X)
