@@ -20,6 +20,7 @@ it goes, what isn't PCM or float WAV as no sound; repeated rows share a class; a
 from __future__ import annotations
 
 import struct
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -227,13 +228,13 @@ def _aligned(block: pd.DataFrame) -> pd.DataFrame:
                 if found[0] <= MAX_ERROR and found < best.get((q, m), (2.0,)):
                     best[q, m] = found
     ids_q, ids_m = asked["class_id"].tolist(), others["class_id"].tolist()
-    rows = [(ids_q[q], ids_m[m], offset, shared, error) for (q, m), (error, offset, shared) in best.items() if ids_q[q] != ids_m[m]]
+    rows = [(ids_q[q], ids_m[m], offset, shared, error) for (q, m), (error, offset, shared) in best.items()]
     return pd.DataFrame(rows, columns=["query_id", "match_id", "offset", "shared", "bit_error"])
 
 
 def align(found: DataFrame, asked: DataFrame) -> DataFrame:
     """Classes (class_id, marks) that are asked for against all: query_id, match_id (both class_ids), offset (position in the match
-    of the query's start), shared (height of the bar), bit_error. A class isn't aligned with itself."""
+    of the query's start), shared (height of the bar), bit_error."""
     blocks = lambda df, size: int((df.agg(F.sum(F.size("marks"))).first()[0] or 0) // size) + 1
     n_q, n_m = blocks(asked, QUERY_MARKS), blocks(found, RECORD_MARKS)
     own = lambda n: F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int")
@@ -243,23 +244,36 @@ def align(found: DataFrame, asked: DataFrame) -> DataFrame:
     return left.unionByName(right).groupBy("i", "j").applyInPandas(_aligned, "query_id long, match_id long, offset int, shared long, bit_error double")
 
 
-def search(marks: DataFrame, is_query) -> tuple[DataFrame, DataFrame]:
-    """Recordings (id, marks) for which ``is_query`` holds against all: the alignments of ``align``, and for each recording
-    id, class_id, class_size, n_links (classes with a query that its class aligns with), and the best of them: best_query,
-    offset, shared, bit_error. Copies aren't expanded into pairs, and no alignment is left out."""
-    marks = cut(marks)
-    found, members = classes(marks)
-    wanted = members.where(is_query(F.col("id"))).select("class_id").distinct()
-    pairs = cut(align(found, found.join(wanted, "class_id", "left_semi")))
+def _summary(marks: DataFrame, found: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     best = F.min(F.struct("bit_error", "query_id", "offset", "shared")).alias("best")
     linked = pairs.groupBy(F.col("match_id").alias("class_id")).agg(F.count(F.lit(1)).alias("n_links"), best)
     settled = found.drop("marks").join(linked, "class_id", "left")
     rows = marks.select("id").join(members.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").drop("of").join(settled, "class_id", "left")
-    return pairs, rows.select(
+    return rows.select(
         "id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("best.query_id").alias("best_query"), "best.offset", "best.shared", "best.bit_error",
     )
 
 
+def search(marks: DataFrame, is_query) -> tuple[DataFrame, DataFrame]:
+    """Recordings (id, marks) for which ``is_query`` holds against all: the alignments of ``align`` but those of a class with itself, and
+    for each recording id, class_id, class_size, n_links (classes with a query that its class aligns with), and the best of them:
+    best_query, offset, shared, bit_error. Copies aren't expanded into pairs, and no alignment is left out."""
+    marks = cut(marks)
+    found, members = classes(marks)
+    wanted = members.where(is_query(F.col("id"))).select("class_id").distinct()
+    pairs = cut(align(found, found.join(wanted, "class_id", "left_semi")).where("query_id <> match_id"))
+    return pairs, _summary(marks, found, members, pairs)
+
+
+def lookup(marks: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``search``, for queries (id, marks) that are recordings of their own, such as excerpts; best_query is the smallest id of the
+    queries with that fingerprint."""
+    marks = cut(marks)
+    found, members = classes(marks)
+    pairs = cut(align(found, classes(cut(asked))[0]))
+    return pairs, _summary(marks, found, members, pairs)
+
+
 def melody(vector: np.ndarray | None, note: int = HOP) -> np.ndarray:
     """A recording made from a vector, as these tables hold no sound: a note for each component, its pitch from the component's value."""
     values = np.nan_to_num(np.asarray(vector if vector is not None else [], np.float32))
@@ -268,11 +282,16 @@ def melody(vector: np.ndarray | None, note: int = HOP) -> np.ndarray:
     return np.sin(2 * np.pi * np.cumsum(hertz) / RATE).astype(np.float32)
 
 
-def recordings(vectors: DataFrame) -> DataFrame:
+def hiss(samples: np.ndarray, level: float) -> np.ndarray:
+    """The samples under noise of the given deviation, a fixed function of the samples."""
+    return samples + level * np.random.default_rng(zlib.crc32(samples.tobytes())).standard_normal(len(samples)).astype(np.float32)
+
+
+def recordings(vectors: DataFrame, noise: float = 0.0) -> DataFrame:
     """(id, vector) to (id, marks): the sound is made and fingerprinted in one step, as it is large and short-lived."""
 
     @F.pandas_udf("array<int>")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: fingerprint(melody(v)).view(np.int32))
+        return values.map(lambda v: fingerprint(hiss(melody(v), noise) if noise else melody(v)).view(np.int32))
 
     return vectors.select("id", run("vector").alias("marks"))

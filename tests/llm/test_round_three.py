@@ -210,3 +210,31 @@ def test_many_matches_in_one_text(spark):
     assert len(spans) == 2 * n and all(text[s.start : s.end] == s.hit for s in spans)
     assert pii.redact(df).first().text == "[EMAIL], call [PHONE] é " * n
     assert time.time() - began < 60
+
+
+def test_registered_lookup_of_excerpts(spark, tmp_path):
+    """The registered query finds the recording that each excerpt comes from, at its offset, and what all pairs at all offsets hold."""
+    import numpy as np
+
+    from leafwork.llm import fingerprints as P
+    from leafwork.llm.queries import op7_chroma
+
+    rng = np.random.default_rng(4)
+    vectors = [rng.standard_normal(64).astype(np.float32) / 8 for _ in range(900)]
+    vectors[11], vectors[100][24:] = vectors[200], vectors[700][24:]  # a copy, and two recordings that share most of their sound
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (901, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.id: r for r in op7_chroma(spark, str(tmp_path)).collect()}
+    assert len(got) == 902 and got[900].n_links == got[901].n_links == 0
+    for i in range(0, 900, 100):
+        assert got[i].best_query == i and got[i].offset == 16 and got[i].bit_error < P.MAX_ERROR
+    assert got[11].class_id == got[200].class_id == 11 and got[11].best_query == 200 and got[700].n_links == 2 and got[100].n_links == 2
+    found = {k: 0 for k in got}
+    marks = [P.fingerprint(P.melody(v)) for v in vectors]
+    for i in range(0, 900, 100):
+        q = P.fingerprint(P.hiss(P.melody(vectors[i][16:]), 0.5))
+        for j, m in enumerate(marks):
+            spans = ((max(0, -o), min(len(q), len(m) - o), o) for o in range(-len(q), len(m)))
+            found[j] += any(b - a >= P.MIN_OVERLAP and np.bitwise_count(q[a:b] ^ m[a + o : b + o]).sum() <= P.MAX_ERROR * 32 * (b - a) for a, b, o in spans)
+    assert all(got[k].n_links <= n for k, n in found.items())
+    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(found.values()) and sum(found.values()) >= 12
