@@ -1,7 +1,7 @@
 """What all block operators share. A block is a row (doc_id, idx, kind, text, ...); absent columns count as null.
 
 kind is paragraph, heading, list, table, image or separator. A table block brings its text in ``rendered``
-(see ``tables.table_markdown``). Operators partition by doc_id once, and windows and regrouping reuse that partitioning.
+(see ``tables.table_markdown``), a paragraph with styled runs its Markdown in ``inline`` (see ``runs.styled``). Operators partition by doc_id once, and windows and regrouping reuse that partitioning.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafwork.functions import text as T
 
 TYPES = {
-    "level": "int", "page_number": "long", "list_type": "string", "list_depth": "int", "href": "string", "footnote": "string", "quote": "boolean", "rendered": "string",
+    "level": "int", "page_number": "long", "list_type": "string", "list_depth": "int", "href": "string", "footnote": "string", "quote": "boolean", "rendered": "string", "inline": "string",
 }
 
 
@@ -74,6 +74,6 @@ def with_fragments(blocks: DataFrame) -> DataFrame:
     written = F.col("kind").isin("heading", "list", "paragraph")
     note = F.when(F.col("footnote").isNotNull(), F.concat(F.lit(" (주: "), T.escape_gfm(F.col("footnote")), F.lit(")"))).otherwise("")
     rows = full(blocks).withColumns(
-        {"__shown": F.when(written, T.escape_gfm(F.col("text"))), "__note": note, "__item": F.when(F.col("kind") == "list", T.sanitize(F.col("text")))}
+        {"__shown": F.when(written, F.coalesce(F.when(F.col("kind") == "paragraph", F.col("inline")), T.escape_gfm(F.col("text")))), "__note": note, "__item": F.when(F.col("kind") == "list", T.sanitize(F.col("text")))}
     )
     return rows.withColumn("frag", fragment(F.col("__shown"), F.col("__note"), F.col("__item"))).drop("__shown", "__note", "__item")
