@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,6 +39,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """As ``cut``, as a Parquet table that ``release`` can remove: smaller than a checkpoint, and its size is known to later plans."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    read = spark.read.schema(df.schema).parquet(folder)
+    read.leafwork_folder = folder
+    return read
+
+
+def release(*stored: DataFrame) -> None:
+    """Removes tables made by ``store`` that nothing will read again. Spark removes the shuffles that made them once the driver has
+    forgotten them, which collecting its garbage brings about."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.leafwork_folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if stored:
+        gc.collect()
+        stored[0].sparkSession._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

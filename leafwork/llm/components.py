@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import cut
+from leafwork.llm.common import cut, release, store
 
 
 def _nearest(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -19,17 +19,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each step turns edges into stars around smaller nodes; the number of edges doesn't grow, and the steps end when
     they no longer change anything, after about the logarithm of the longest path.
     """
-    state = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    state = store(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
-        both = cut(state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = cut(_nearest(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        both = store(state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        near = store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = store(_nearest(both, near).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = store(large.groupBy("u").agg(F.min("v").alias("m")))
         small = _nearest(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, state = state, store(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        release(before, both, near, large, least)  # only the latest state is kept
         now = state.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()
