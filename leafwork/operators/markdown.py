@@ -30,14 +30,28 @@ def page_of_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("page", page).where("page is not null")
 
 
+def check_evidence(evidence: DataFrame) -> DataFrame:
+    """(doc_id, ord, page_number) to doc_id, error: null where the page numbers of a document are positive and rise from one to the next,
+    and are at most MAX_PAGES."""
+    before = F.lag("page_number").over(Window.partitionBy("doc_id").orderBy("ord"))
+    rows = evidence.withColumn("bad", F.col("page_number").isNull() | (F.col("page_number") < 1) | F.coalesce(F.col("page_number") <= before, F.lit(False)))
+    wrong = F.struct(F.lit("PARSE_ERROR").alias("code"), F.lit("page evidence must be positive and rise").alias("message"))
+    found = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("bad").alias("bad"))
+    return found.select("doc_id", F.coalesce(too_large(F.col("n") > MAX_PAGES), F.when(F.col("bad"), wrong)).alias("error"))
+
+
 def blocks_to_pages(blocks: DataFrame, render: Callable[[Column], Column] | None = None, evidence: DataFrame | None = None) -> DataFrame:
     """doc_id, page_number, markdown: every page from the first to the last, empty ones included.
 
     ``render`` makes a page's text from its blocks, array<struct(idx, kind, frag, text)> in order, and isn't called for
-    empty pages; ``evidence`` (doc_id, page_number) adds pages without blocks. Documents with a page number below one or more
-    than MAX_PAGES pages have one row with ``error`` instead.
+    empty pages; ``evidence`` (doc_id, page_number) adds pages without blocks, and with ``ord`` its order is checked. Documents with a page
+    number below one, more than MAX_PAGES pages or unsound evidence have one row with ``error`` instead.
     """
     render = render or joined
+    if evidence is not None and "ord" in evidence.columns:
+        unsound = check_evidence(evidence).where("error IS NOT NULL").select("doc_id", F.lit(None).cast("long").alias("page_number"), F.lit(None).cast("string").alias("markdown"), "error")
+        keep = lambda df: df.join(unsound.select("doc_id"), "doc_id", "left_anti")
+        return blocks_to_pages(keep(blocks), render, keep(evidence).drop("ord")).unionByName(unsound)
     rows = page_of_blocks(with_fragments(blocks))
     pages = rows.groupBy("doc_id", F.col("page").alias("page_number")).agg(
         render(F.array_sort(F.collect_list(F.struct("idx", "kind", "frag", "text")))).alias("markdown")

@@ -73,6 +73,17 @@ def pages_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.blocks_to_pages(A.turn_blocks(spark, sf_dir)).drop("error")
 
 
+@query(f"""WITH {A.TURN_BLOCKS_SQL}, e AS (SELECT doc_id, idx AS ord, CASE doc_id % 3 WHEN 0 THEN idx + 1 WHEN 1 THEN idx // 2 + 1 ELSE idx END AS page FROM turn_blocks),
+        checked AS (SELECT *, page < 1 OR page <= lag(page) OVER (PARTITION BY doc_id ORDER BY ord) AS bad FROM e)
+        SELECT doc_id, CASE WHEN bool_or(coalesce(bad, false)) THEN 'PARSE_ERROR' END AS code FROM checked GROUP BY doc_id""")
+def evidence_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page numbers given beside conversations: rising ones, ones that come twice, and ones that begin at zero."""
+    turn, third = F.col("idx"), F.col("doc_id") % 3
+    page = F.when(third == 0, turn + 1).when(third == 1, F.floor(turn / 2) + 1).otherwise(turn)
+    given = A.turn_blocks(spark, sf_dir).select("doc_id", turn.alias("ord"), page.cast("long").alias("page_number"))
+    return markdown.check_evidence(given).select("doc_id", "error.code")
+
+
 @query(_PAGES + " SELECT * FROM pages_out WHERE page_number IN (1, 2, 4)")
 def pages_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.select_pages(markdown.blocks_to_pages(A.turn_blocks(spark, sf_dir)).drop("error"), [1.4, 1.5, 3.5, 0.6])
