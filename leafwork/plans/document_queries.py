@@ -163,15 +163,16 @@ _GFM = f"""WITH {A.ORDER_CELLS_SQL}, l AS (SELECT table_id, r, concat('| ', stri
 
 @query(_GFM + " SELECT * FROM md")
 def table_gfm_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table_gfm(A.order_cells(spark, sf_dir))
+    return tables.table_gfm(A.order_tables(spark, sf_dir))
 
 
-def _spanned(cells: DataFrame) -> DataFrame:
+def _spanned(tables: DataFrame) -> DataFrame:
     """Every table with its first two header cells merged, and the last cell of its first line over all lines below."""
-    rows = cells.groupBy("table_id").agg(F.max("r").alias("last"))
-    wide = F.when((F.col("r") == 0) & (F.col("c") == 0), 2).otherwise(1)
-    high = F.when((F.col("r") == 1) & (F.col("c") == 4), F.col("last")).otherwise(1)
-    return cells.drop("col_span", "row_span").join(rows, "table_id").withColumns({"col_span": wide, "row_span": high}).drop("last")
+    last = F.array_max(F.transform("cells", lambda x: x["r"]))
+    wide = lambda x: F.when((x["r"] == 0) & (x["c"] == 0), 2).otherwise(1).alias("col_span")
+    high = lambda x: F.when((x["r"] == 1) & (x["c"] == 4), F.col("last")).otherwise(1).alias("row_span")
+    spanned = F.transform("cells", lambda x: F.struct(x["r"].alias("r"), x["c"].alias("c"), x["text"].alias("text"), wide(x), high(x)))
+    return tables.withColumn("last", last).select("table_id", spanned.alias("cells"))
 
 
 _TAG = "CASE WHEN r = 0 THEN 'th' ELSE 'td' END"
@@ -183,12 +184,12 @@ _TAG = "CASE WHEN r = 0 THEN 'th' ELSE 'td' END"
             FROM m WHERE NOT (r = 0 AND c = 1) AND NOT (r > 1 AND c = 4) GROUP BY table_id, r)
         SELECT table_id, concat('<table>', chr(10), string_agg(line, '' ORDER BY r), '</table>') AS markdown FROM l GROUP BY table_id""")
 def table_html_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table_html(_spanned(A.order_cells(spark, sf_dir)))
+    return tables.table_html(_spanned(A.order_tables(spark, sf_dir)))
 
 
 @query(f"WITH {A.ORDER_CELLS_SQL} SELECT table_id, max(r) + 1 AS rows, max(c) + 1 AS cols, count(*) = (max(r) + 1) * (max(c) + 1) AS sound FROM order_cells GROUP BY table_id")
 def table_shape_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.shape(A.order_cells(spark, sf_dir)).select("table_id", "rows", "cols", F.col("error").isNull().alias("sound"))
+    return tables.shape(A.order_tables(spark, sf_dir)).select("table_id", "rows", "cols", F.col("error").isNull().alias("sound"))
 
 
 @query(f"WITH {A.ORDER_CELLS_SQL} SELECT table_id, r, c, {T.cell_type_sql('text')} AS type FROM order_cells")
@@ -211,7 +212,7 @@ _R2 = "sign({x} * 100.0) * floor(abs({x} * 100.0) + 0.5) / 100.0"
             array_to_string(list_filter([CASE WHEN rep >= 0.6 THEN 'repeated-row-schema' END, 'grid-regularity', CASE WHEN a >= 0.7 THEN 'high-active-density' END, CASE WHEN cc >= 0.75 THEN 'column-type-consistency' END,
                 CASE WHEN s < 0.35 THEN 'low-evidence' WHEN s < 0.55 THEN 'ambiguous-scores' END], lambda x: x IS NOT NULL), ' ') AS reasons FROM s""")
 def classify_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.classify(A.order_cells(spark, sf_dir))
+    rows = tables.classify(A.order_tables(spark, sf_dir))
     return rows.withColumn("reasons", F.array_join("reasons", " "))
 
 
@@ -246,14 +247,15 @@ _SPANNED = f"""WITH {A.ORDER_CELLS_SQL}, o AS (SELECT *, max(r) OVER (PARTITION
 
 @query(_SPANNED)
 def classify_spanned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.classify(_spanned(A.order_cells(spark, sf_dir)))
+    rows = tables.classify(_spanned(A.order_tables(spark, sf_dir)))
     return rows.withColumn("reasons", F.array_join("reasons", " "))
 
 
 @query(f"WITH {A.ORDER_CELLS_SQL} SELECT table_id, CASE WHEN table_id % 2 = 0 THEN 'html' ELSE 'gfm' END AS representation FROM order_cells GROUP BY table_id")
 def representation_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = A.order_cells(spark, sf_dir)
-    return tables.representation(cells.where("table_id % 2 = 1").unionByName(_spanned(cells.where("table_id % 2 = 0"))))
+    spanned = _spanned(A.order_tables(spark, sf_dir).where("table_id % 2 = 0")).select("table_id", F.inline("cells"))
+    return tables.representation(cells.where("table_id % 2 = 1").unionByName(spanned))
 
 
 @query(f"""WITH {A.LINE_BLOCKS_SQL}, k AS (SELECT doc_id, idx, CASE WHEN idx % 3 = 2 THEN 'table' ELSE kind END AS kind, text FROM line_blocks),
@@ -295,7 +297,7 @@ _TABLE_TEXT = f"""{_GFM}, h AS (SELECT table_id, list_transform(string_split(mar
 
 @query(_TABLE_TEXT + " SELECT table_id, concat('<table>', chr(10), array_to_string(parts, ''), '</table>') AS html FROM o")
 def html_tables_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table_gfm(A.order_cells(spark, sf_dir)).select("table_id", post.html_tables("markdown").alias("html"))
+    return tables.table_gfm(A.order_tables(spark, sf_dir)).select("table_id", post.html_tables("markdown").alias("html"))
 
 
 @query()

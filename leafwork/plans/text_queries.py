@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def _table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    md = tables.table_gfm(A.order_cells(spark, sf_dir))
+    md = tables.table_gfm(A.order_tables(spark, sf_dir))
     return md.select(F.col("table_id").alias("doc_id"), F.concat(F.lit("before\nit\n\n"), "markdown", F.lit("\n---\n![image](a.png)\nafter")).alias("markdown"), F.col("markdown").alias("table"))
 
 
@@ -49,7 +49,7 @@ def gfm_rows_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {A.ORDER_CELLS_SQL} SELECT table_id AS doc_id, r, r = 0 AS header, string_agg(text, '~' ORDER BY c) AS cells FROM order_cells GROUP BY table_id, r")
 def html_rows_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = tables.table_html(A.order_cells(spark, sf_dir))
+    html = tables.table_html(A.order_tables(spark, sf_dir))
     rows = html.select(F.col("table_id").alias("doc_id"), units.parse_html_table("markdown").alias("p")).select("doc_id", F.posexplode("p.rows").alias("r", "row"))
     return rows.select("doc_id", "r", "row.header", F.array_join(F.transform("row.cells", lambda c: c["inner"]), "~").alias("cells"))
 

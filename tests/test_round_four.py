@@ -62,3 +62,25 @@ def test_few_python_steps_in_a_stage(spark, name):
     import __spark_entry__ as E
 
     assert _python_evaluations(E.queries()[name](spark, "/root/testdata/sf0.001")) <= 2
+
+
+@pytest.mark.parametrize("name", ["table_shape_orders", "table_gfm_orders", "table_html_orders", "classify_orders", "classify_spanned_orders", "tree_markdown_orders"])
+def test_cells_are_neither_shuffled_nor_sorted(spark, name):
+    """Line items are dealt out and sorted once; what is made of them, 25 cells an order, is not."""
+    import __spark_entry__ as E
+
+    plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1 and "Aggregate" not in plan
+
+
+def test_covered_cells_with_two_in_a_slot(spark):
+    """Cells that come one by one and packed give the same, also where two cells share a slot and a span covers both."""
+    from leafwork.operators import tables
+
+    rows = [(1, 0, 0, "a", 2, 1), (1, 0, 1, "b", 1, 1), (1, 0, 1, "c", 1, 1), (1, 1, 0, "d", 1, 1), (1, 1, 1, "e", 1, 1), (1, 1, 1, "f", 1, 1), (2, 0, 0, "g", 1, 3), (2, 2, 0, "h", 1, 1), (2, 3, 0, "i", 1, 1)]
+    cells = spark.createDataFrame(rows, "table_id int, r int, c int, text string, col_span int, row_span int").repartition(3)
+    assert sorted((x.table_id, x.text) for x in tables.visible_cells(cells).collect()) == [(1, t) for t in "adef"] + [(2, "g"), (2, "i")]
+    html = {x.table_id: x.markdown for x in tables.table_html(cells).collect()}
+    assert html == {x.table_id: x.markdown for x in tables.table_html(tables.packed(cells)).collect()}
+    assert html[2] == '<table>\n<tr><th rowspan="3">g</th></tr>\n<tr></tr>\n<tr></tr>\n<tr><td>i</td></tr>\n</table>'
+    assert [x[:] for x in tables.shape(cells).orderBy("table_id").collect()] == [x[:] for x in tables.shape(tables.packed(cells)).orderBy("table_id").collect()] == [(1, 2, 2, None), (2, 4, 1, "PARSE_ERROR")]
