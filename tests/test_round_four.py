@@ -84,3 +84,35 @@ def test_covered_cells_with_two_in_a_slot(spark):
     assert html == {x.table_id: x.markdown for x in tables.table_html(tables.packed(cells)).collect()}
     assert html[2] == '<table>\n<tr><th rowspan="3">g</th></tr>\n<tr></tr>\n<tr></tr>\n<tr><td>i</td></tr>\n</table>'
     assert [x[:] for x in tables.shape(cells).orderBy("table_id").collect()] == [x[:] for x in tables.shape(tables.packed(cells)).orderBy("table_id").collect()] == [(1, 2, 2, None), (2, 4, 1, "PARSE_ERROR")]
+
+
+def _bold_by_hand(text):
+    """Bold marks of one line taken one by one."""
+    out, copied, open_at = [], 0, None
+    at = text.find("**")
+    while at >= 0:
+        if not (at and text[at - 1] == "\\"):
+            if open_at is not None and not text[at - 1].isspace():
+                out += [text[copied:open_at], text[open_at + 2 : at]]
+                copied, open_at = at + 2, None
+            elif open_at is None and at + 2 < len(text) and not text[at + 2].isspace():
+                open_at = at
+        at = text.find("**", at + 2)
+    return "".join([*out, text[copied:]])
+
+
+def test_bold_is_unwrapped_without_python(spark):
+    """Whole texts don't go to a Python worker, in batches of many rows; the result is that of a walk over the marks."""
+    import random
+
+    import __spark_entry__ as E
+    from leafwork.operators.post import unwrap_bold
+
+    for name in ("plain_documents", "bold_documents"):
+        assert "Python" not in E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(["*", "**", "\\", " ", "a", "é", "\n", "\u00a0", "\x1c", "\u2028", "\r", "$1", "𝒳"], [5, 6, 2, 4, 6, 1, 2, 1, 1, 1, 1, 1, 1], k=rng.randrange(0, 24))) for _ in range(20_000)]
+    texts += ["**" + "a* b " * 200_000 + "c**", " **a" * 100_000, "**a** " * 100_000, "\\**" * 100_000, "**" * 99_999, "*" * 100_001, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", unwrap_bold(F.col("text")).alias("got")).collect()
+    assert len(rows) == len(texts)
+    assert [r.text for r in rows if r.got != (None if r.text is None else "\n".join(map(_bold_by_hand, r.text.split("\n"))))] == []
