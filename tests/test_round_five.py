@@ -45,3 +45,85 @@ def test_plain_cells(inside, plain):
 
     holder = read_xml(f"<subList>{inside}</subList>".encode())
     assert plain_lines(holder) == (texts_of(holder) if plain else None)
+
+
+def _plain_measures(cells):
+    """What ``tables.MEASURES`` are, by a walk over one table."""
+    kinds = ("empty", "number", "date", "short", "short")
+    filled, lines = [x for x in cells if x["type"]], {}
+    for x in cells:
+        lines.setdefault(x["r"], []).append(x)
+    said = [s for r, line in lines.items() if r > 0 and (s := [(x["c"], kinds[x["type"]]) for x in line if x["type"]])]
+    one, shares, mean = lambda x: x["row_span"] == x["col_span"] == 1, [], len(cells) / len(lines)
+    for c in sorted({x["c"] for x in cells}):
+        of = [x["type"] for x in filled if x["c"] == c and x["r"] > 0 and x["col_span"] == 1]
+        shares += [max(map(of.count, of)) / len(of)] if len(of) > 1 else []
+    spread = 0.0
+    for line in lines.values():
+        spread += abs(len(line) - mean)
+    return {
+        "rows": max(x["r"] + x["row_span"] for x in cells), "cols": max(x["c"] + x["col_span"] for x in cells), "active": sum(x["row_span"] * x["col_span"] for x in filled),
+        "body": sum(x["r"] > 0 for x in cells), "merged": sum(x["r"] > 0 and not one(x) for x in cells), "regular": sum(one(x) or (x["r"] == 0 and x["row_span"] == 1) for x in cells),
+        "nested": sum(x["nested"] for x in cells), "anchors": len(cells), "used_rows": len({x["r"] + i for x in filled for i in range(x["row_span"])}),
+        "used_cols": len({x["c"] + i for x in filled for i in range(x["col_span"])}), "schemas": len(said), "mode": max(map(said.count, said), default=0), "lines": len(lines),
+        "mean": mean, "spread": spread / len(lines), "even": sum(shares) / len(shares) if shares else 0.0,
+    }
+
+
+def test_measures_of_many_tables_at_once():
+    import random
+
+    from leafwork.operators import tables
+
+    rng, made = random.Random(5), []
+    for n in range(60):
+        slots = [(r, c) for r in range(rng.randint(1, 6)) for c in range(rng.randint(1, 5)) if rng.random() < 0.8] or [(0, 0)]
+        span = lambda: rng.choice((1, 1, 1, 3))
+        made.append([{"r": r, "c": c, "row_span": span(), "col_span": span(), "nested": rng.random() < 0.2, "type": rng.randint(0, 4) * (n % 7 > 0)} for r, c in slots])
+    kind = pa.list_(pa.struct([("r", pa.int32()), ("c", pa.int32()), ("row_span", pa.int32()), ("col_span", pa.int32()), ("nested", pa.bool_()), ("type", pa.int8())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(made, kind)], names=["table_id", "cells"])
+    want = [{"table_id": i, **_plain_measures(x)} for i, x in enumerate(made)]
+    for most in (1, 50, 1 << 19):  # tables by themselves, in parts, all at once
+        tables.PART_CELLS, usual = most, tables.PART_CELLS
+        assert [row for b in tables._measured(iter([batch])) for row in b.to_pylist()] == want
+        tables.PART_CELLS = usual
+
+
+def test_few_and_many_spans_cover_the_same(spark, monkeypatch):
+    import random
+
+    from leafwork.operators import tables
+
+    rng, rows = random.Random(6), []
+    for t in range(40):  # areas that don't overlap, some with cells below them, or two in one slot
+        for r in range(0, 6, 2):
+            for c in range(0, 6, 3):
+                high, wide = rng.randint(1, 2), rng.randint(1, 3)
+                rows += [(t, r, c, "a", wide, high)] + [(t, r + i, c + j, "b", 1, 1) for i in range(2) for j in range(3) if (i, j) != (0, 0) and rng.random() < 0.7]
+                rows += [(t, r, c, "c", 1, 1)] if rng.random() < 0.05 else []
+    cells = spark.createDataFrame(rows, "table_id int, r int, c int, text string, col_span int, row_span int")
+    shown = lambda: sorted(map(tuple, tables.visible_cells(cells).select("table_id", "r", "c", "text", "col_span", "row_span").collect()))
+    few = shown()
+    monkeypatch.setattr(tables, "FEW_SPANS", 0)
+    assert few == shown() and 0 < len(few) < len(rows)
+
+
+@pytest.mark.parametrize("name", ["classify_orders", "classify_spanned_orders"])
+def test_cells_are_measured_many_at_once(spark, name):
+    import __spark_entry__ as E
+
+    plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_quick_types(spark):
+    from pyspark.sql import functions as F
+
+    from leafwork.functions import text as T
+
+    cases = ["1", "-1.5", "1.", "1.5.2", "2024-01-02", "2024-01-02\n", "99-1", " 7 ", "+3", "+", "1\n", "1,000 kg", "a", "a" * 13, "", " ", None, " 5", "2024-01-02x", "12.34원"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, text string").coalesce(1)
+    t = T.utrim(F.coalesce(F.col("text"), F.lit("")))
+    slow = F.when(t == "", "empty").when(T.is_number(t), "number").when(T.is_date(t), "date").when(F.char_length(t) <= 12, "short").otherwise("long")
+    got = rows.select("text", T.cell_type(F.col("text")).alias("a"), slow.alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got], got
