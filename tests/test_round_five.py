@@ -127,3 +127,60 @@ def test_quick_types(spark):
     slow = F.when(t == "", "empty").when(T.is_number(t), "number").when(T.is_date(t), "date").when(F.char_length(t) <= 12, "short").otherwise("long")
     got = rows.select("text", T.cell_type(F.col("text")).alias("a"), slow.alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got], got
+
+
+NEVER = "(?!)"
+TEXTS = [
+    "| a | b |\n| --- | --- |\n| 1 | x\\|y & <u>z</u> \\* |\n|  | <b> |", "before\n<TABLE>\n<tr ><td>1</td> <th colspan=2>a\n b</th></TR></Table>\nafter", "| a |\n| - |", "<table><tr><td>", "<tab>|",
+    "<table><tr><td>1</td><td>2</td><td/><td rowspan='2'>x<br>y</td><td>3</td></tr><!-- c --><tr><td>4</td>z</tr></table>", "a  b", " $1$ # _x_", "가 나 다 라", "a < b", "",
+]
+
+
+def _read(text):
+    from leafwork.operators import post, tree, units
+
+    def tried(f, x):
+        try:
+            return f(x)
+        except ValueError as e:
+            return repr(e)
+
+    cell = {"text": text, "colSpan": 1, "rowSpan": 1}
+    table = [{"type": "table", "table": {"rows": 2, "cols": 2, "cells": [[cell, cell | {"rowSpan": 2}], [cell | {"colSpan": 2}, cell]]}}]
+    return post.html_tables_text(text), tried(units.html_table_rows, text), tried(units.cell_lines, text), tree.escape(text), tree.sanitize(text), tree.markdown(table)
+
+
+def test_quick_ways_of_the_readers_change_nothing(monkeypatch):
+    import re
+
+    from leafwork.operators import post, tree, units
+
+    quick = [_read(t) for t in TEXTS]
+    monkeypatch.setattr(post, "MARKED", re.compile(""))
+    for owner, name in ((units, "BARE"), (units, "PLAIN_CELL"), (tree, "TIDY"), (tree, "INERT")):
+        monkeypatch.setattr(owner, name, re.compile(NEVER))
+    assert quick == [_read(t) for t in TEXTS]
+    assert quick[5][1] == [(True, [("1", 1, 1), ("2", 1, 1), ("", 1, 1), ("x<br>y", 1, 2), ("3", 1, 1)]), (False, [("4", 1, 1)])]
+
+
+def test_wide_rows_are_still_too_large():
+    from leafwork.operators import units
+
+    row = lambda n: f"<table><tr>{'<td>x</td>' * n}</tr></table>"
+    assert len(units.html_table_rows(row(200))[0][1]) == 200
+    with pytest.raises(units.TooLarge):
+        units.html_table_rows(row(201))
+
+
+def test_html_tables_as_columns(spark):
+    """Nulls, faults and tables without rows keep their places in a batch."""
+    from pyspark.sql import functions as F
+
+    from leafwork.operators import post, units
+
+    texts = ["<table><tr><th>a</th></tr><tr></tr></table>", None, "<table>", "<table></table>", "<table><tr><td colspan=300>x</td></tr></table>", "<table><tr><td colspan=2>b</td><td>c</td></tr></table>"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", units.parse_html_table("t").alias("p"), post.html_tables("t").alias("h")).orderBy("i").collect()
+    assert [r.p.error for r in rows] == [None, None, "PARSE_ERROR", None, "OUTPUT_TOO_LARGE", None] and [r.h is None for r in rows] == [False, True] + [False] * 4
+    plain = lambda p: p.rows and [(x.header, [tuple(c) for c in x.cells]) for x in p.rows]
+    assert [plain(r.p) for r in rows] == [[(True, [("a", 1, 1)]), (False, [])], None, None, [], None, [(True, [("b", 2, 1), ("c", 1, 1)])]]
+    assert spark.createDataFrame([], "t string").select(F.explode(units.parse_html_table("t").rows)).count() == 0
