@@ -97,13 +97,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             for toxic, text in zip(batch["toxic"], batch["text"]):
                 found[int(toxic > 0)][buckets(text)] += 1
                 sizes[int(toxic > 0)] += 1
-        yield {"rest": [found[0].tobytes()], "toxic": [found[1].tobytes()], "n_rest": [sizes[0]], "n_toxic": [sizes[1]]}
+        at = np.flatnonzero(found[0] + found[1]).astype("<u4")
+        yield {"at": [at.tobytes()], "rest": [found[0][at].tobytes()], "toxic": [found[1][at].tobytes()], "n_rest": [sizes[0]], "n_toxic": [sizes[1]]}
 
     with_rest, with_toxic, n_rest, n_toxic = np.zeros(BUCKETS), np.zeros(BUCKETS), 0, 0
     # stored first, as the iterator would count one part after the other
-    for row in cut(map_batches(texts, count, "rest binary, toxic binary, n_rest long, n_toxic long")).toLocalIterator():
-        with_rest += np.frombuffer(row["rest"], np.uint32)
-        with_toxic += np.frombuffer(row["toxic"], np.uint32)
+    for row in cut(map_batches(texts, count, "at binary, rest binary, toxic binary, n_rest long, n_toxic long")).toLocalIterator():
+        at = np.frombuffer(row["at"], "<u4")
+        with_rest[at] += np.frombuffer(row["rest"], np.uint32)
+        with_toxic[at] += np.frombuffer(row["toxic"], np.uint32)
         n_rest, n_toxic = n_rest + row["n_rest"], n_toxic + row["n_toxic"]
     kept = chosen_buckets(with_toxic, with_rest, n_toxic, n_rest)
     ratio = np.log((1 + with_toxic) / (1 + with_toxic).sum()) - np.log((1 + with_rest) / (1 + with_rest).sum())
